@@ -28,7 +28,7 @@ from tessera.llm.tables import written
 #: bound of the fit: vectors that k-means sees
 SAMPLE = 8192
 LISTS = 32
-PROBES = 12
+PROBES = 26
 STEP = 16
 EPSILON = 4.0
 #: rows of a block of candidates or of queries, on average
@@ -177,10 +177,12 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, l
     widths = sorted((len(s) for s in sample), key=lambda w: (-sum(len(s) == w for s in sample[:256]), w))
     width = widths[0] if widths else 1
     held, good = _array(pa.array([s for s in sample if len(s) == width], pa.list_(pa.float64())), width)
-    held = centroids(held[good], lists)
+    # few vectors make few lists, so that the probed ones hold enough candidates
+    held = centroids(held[good], max(1, min(lists, int(good.sum()) // 128)))
     c = vectors.sparkSession.sparkContext.broadcast(held)
     placed = written(vectors.mapInArrow(_assign(c, width, probes), "vec_id long, v array<double>, home int, probes array<int>"), "placed")
-    asked = placed.where(queries).withColumn("home", F.explode("probes"))
+    # read twice, so that both sides of the cogroup have columns of their own
+    asked = placed.sparkSession.read.schema(placed.schema).parquet(placed._tessera_path).where(queries).withColumn("home", F.explode("probes"))
     blocks = placed.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("cb"))
     rounds = asked.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("qb"))
     plan = F.broadcast(blocks.join(F.broadcast(rounds), "home"))  # one row a list, LISTS at most
