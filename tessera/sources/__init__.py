@@ -1,0 +1,8 @@
+"""Readers of tables, logs and graph texts."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
