@@ -65,7 +65,7 @@ def contains_matches(texts: DataFrame, needles: DataFrame, text: str, needle: st
     split = lambda c: F.split(F.col(c), " ")
     # runs by zipping the words with themselves, shifted: each word array is made once per shift
     shifted = [F.slice(split(text), F.lit(k + 1), F.greatest(F.size(split(text)) - words + 1, F.lit(0))) for k in range(words)]
-    runs = F.transform(F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted)]), lambda x: F.concat_ws(" ", *[x[str(k)] for k in range(words)]))
+    runs = F.transform(F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted)]), lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(words)]))
     long = F.size(split(needle)) >= words + 2
     # the first run that doesn't touch the needle's first word, which may be the end of a longer one
     probe = needles.where(long).withColumn("_k", F.array_join(F.slice(split(needle), 2, words), " "))
