@@ -27,10 +27,11 @@ MIN_WORDS = 20
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_md5, line (from 0), seq (from 1, among lines with words), h, words, ahead."""
     key = ["doc_id", "text_md5"]
-    split = docs.select("doc_id", F.md5(F.col("text").cast("string")).alias("text_md5"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = split.select(*key, "line", F.md5("content").alias("h"), word_count("content").alias("words")).where("words > 0")
+    # the digest of a text is taken once, before its lines are dealt out
+    whole = docs.select("doc_id", F.md5(F.col("text").cast("string")).alias("text_md5"), F.split("text", "\n").alias("parts"))
+    split = whole.select(*key, F.posexplode("parts").alias("line", "content")).where(F.col("content").rlike(r"[^\x20\x09-\x0D]"))
     # rows that repeat a doc_id and its text are one text
-    lines = lines.dropDuplicates([*key, "line"])
+    lines = split.select(*key, "line", F.md5("content").alias("h"), word_count("content").alias("words")).distinct()
     by_line = W.partitionBy(*key).orderBy("line")
     return lines.withColumn("seq", F.row_number().over(by_line)).withColumn("ahead", F.coalesce(F.sum("words").over(by_line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 

@@ -26,8 +26,7 @@ CUT_RANGES = 1024
 
 def word_count(text: str) -> F.Column:
     """Runs of characters other than ASCII white space; 0 for a null text."""
-    t = F.regexp_replace(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
-    return F.coalesce(F.when(t == "", 0).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, cycle: tuple[float, ...], most: float, share: float) -> DataFrame:
