@@ -61,7 +61,7 @@ def intermediate_code(spark: SparkSession, path: str) -> DataFrame:
     files = texts(spark, path, "*.json")
     printed = F.from_json("text", "results struct<printers: array<struct<description: string>>>").getField("results").getField("printers")
     lines = files.select("file", F.posexplode(printed).alias("printer", "p")).select("file", "printer", F.posexplode(F.split("p.description", "\n")).alias("no", "raw"))
-    lines = lines.withColumn("line", F.trim("raw")).where("line <> ''")
+    lines = lines.withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("line <> ''")
     pick = lambda pattern, group=1: F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
     head, entry = F.col("line").rlike(r"^(Function|Modifier)\s+\S"), F.col("line").rlike(r"(?i)^ENTRY_POINT(\s|$)")
     signature = F.when(head, F.regexp_extract("line", r"^(?:Function|Modifier)\s+(?:[^.]+\.)?(.+)$", 1)).when(entry, F.coalesce(pick(r"(?i)^ENTRY_POINT\s+(.*)$"), F.lit("ENTRY_POINT")))
@@ -176,7 +176,7 @@ def source_folders(spark: SparkSession, path: str, max_depth: int = 7) -> DataFr
 def compiler_output(df: DataFrame, text: str) -> DataFrame:
     """df's rows split at `======= file =======` lines: source, content."""
     part = F.explode(F.slice(F.split(text, r"(?m)^=======\s*"), 2, 2147483647))
-    return df.withColumn("_part", part).select(*[c for c in df.columns if c != text], F.trim(F.regexp_extract("_part", r"^(.*?)\s*=======", 1)).alias("source"), F.trim(F.regexp_replace("_part", r"^.*?=======\s*", "")).alias("content"))
+    return df.withColumn("_part", part).select(*[c for c in df.columns if c != text], F.trim(F.regexp_extract("_part", r"^(.*?)\s*=======", 1)).alias("source"), F.regexp_replace(F.regexp_replace("_part", r"^.*?=======\s*", ""), r"\s+$", "").alias("content"))
 
 
 def package_versions(spark: SparkSession, path: str) -> DataFrame:
