@@ -85,7 +85,7 @@ class Benchmark:
     #: state -> (length, item positions) of the windows that end where the state does
     windows: dict[int, list[tuple[int, tuple[int, ...]]]]
     pairs: np.ndarray  # sorted hashes of neighbouring words
-    singles: np.ndarray  # sorted hashes of items of one word
+    singles: np.ndarray  # sorted hashes of the windows of one word
     shortest: int
     item_ids: list[str]
 
@@ -143,7 +143,7 @@ def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> B
     for (s, n), found in sorted(owners.items()):
         windows.setdefault(s, []).append((n, tuple(sorted(found))))
     same = rows[1:] == rows[:-1]
-    singles = np.unique(np.array([w[0] for w in sequences if len(w) == 1], dtype=np.uint64))
+    singles = np.unique(np.array([x for w in sequences if min(window, len(w)) == 1 for x in w], dtype=np.uint64))
     return Benchmark(a, windows, np.unique(_pair(h[:-1][same], h[1:][same])), singles, shortest, ids)
 
 

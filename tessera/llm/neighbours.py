@@ -3,10 +3,9 @@
 Vectors are spread over lists by their nearest centroid (k-means on a bounded sample). All are
 turned by one random rotation, so that any first columns are a random projection. A query goes to
 the lists that promise the largest inner products; in a list it reads the columns in blocks of
-STEP. After each block a candidate's product so far, plus EPSILON standard deviations of what the
-other columns can add - products of the two remaining lengths over the square root of their
-number - is tested against the 20th best so far; candidates that fail are left out of the next
-block. What is left is scored in double precision on the original vectors, column after column.
+STEP. After each block a candidate's product is estimated from the columns read; if the estimate
+and EPSILON of its standard deviations stay below the k-th best so far, or the lengths of what is
+left (an exact bound) do, the candidate is left out of the next block. What is left is scored in double precision on the original vectors, column after column.
 
 Lists are cut into blocks of candidates and blocks of queries by a hash of the id, so that a list
 that holds a third of all vectors is many tasks.
@@ -30,7 +29,7 @@ SAMPLE = 8192
 LISTS = 32
 PROBES = 26
 STEP = 16
-EPSILON = 4.0
+EPSILON = 3.0
 #: rows of a block of candidates or of queries, on average
 BLOCK = 4096
 
@@ -94,10 +93,12 @@ def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, own: int, turned
         so_far = np.zeros(len(alive))
         for s, d in enumerate(range(0, width, STEP)):
             so_far += xr[alive, d : d + STEP] @ qr[d : d + STEP]
-            left = width - min(d + STEP, width)
-            spread = EPSILON * rest[alive, s + 1] * q_rest[s + 1] / np.sqrt(left) if left else 0.0
-            # never more than the remaining lengths allow
-            reach = so_far + np.minimum(spread, rest[alive, s + 1] * q_rest[s + 1])
+            read = min(d + STEP, width)
+            left = width - read
+            # what the other columns add: as much a column as so far, give or take, and never more
+            # than the remaining lengths allow
+            more = np.maximum(so_far, 0) * left / read + EPSILON * rest[alive, 0] * q_rest[0] * np.sqrt(2 * left / (read * width))
+            reach = so_far + np.minimum(more, rest[alive, s + 1] * q_rest[s + 1])
             stay = reach >= bar - 1e-9
             alive, so_far = alive[stay], so_far[stay]
             if len(alive) >= k and not left:
