@@ -6,9 +6,9 @@ of level j are never below j, so a text is finished after the first level at whi
 a value: here all elements of a batch go through the levels together.
 
 Texts with equal shingle sets are one vertex. Pairs of vertices that share a band are candidates:
-first each vertex against the least vertex of its bucket, then, among members of buckets that are
-still in several components, the pairs of different components that share one of their rarest
-shingles, which is exact. Pairs inside a component are never made.
+first each vertex against the least vertex of its bucket, then, in buckets whose members are still
+in several components, the pairs of different components that an exact bound on 512 hashed slots
+lets through. Pairs inside a component are never made.
 Every link is confirmed on full shingle sets. With 40 bands of 5 rows a pair at similarity 0.75 is
 a candidate with probability 1 - 2e-5, at 0.8 with 1 - 2e-7.
 """
@@ -28,8 +28,9 @@ from tessera.llm.textvec import U64, Texts, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 5
-#: counters of shingles, a bounded table whatever the input
-SLOTS = 1 << 20
+#: 64-bit columns of the slots of a set
+WORDS = 8
+BITS = [f"w{i}" for i in range(WORDS)]
 
 
 def _draws(h: np.ndarray, level: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,7 @@ def _sign(bands: int, rows: int, words: int) -> Callable[[Iterator[pa.RecordBatc
                 n = last - first
                 full = np.flatnonzero(n > 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, bands, 0))).astype(np.int32)), _signed(key[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(a), _signed(b), lists], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(a), _signed(b), lists, *map(pa.array, _bits(hashes, first, last))], names=["doc_id", "n_shingles", "d1", "d2", "bands", *BITS])
 
     return run
 
@@ -144,61 +145,23 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return out
 
 
-def _tally(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """How many sets of a partition hold a shingle of each slot."""
+def _bits(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """For each set, which of 64 * WORDS slots a shingle falls into, as WORDS columns of 64 bits."""
+    row = np.repeat(np.arange(len(first)), last - first)
+    table = np.zeros((len(first), 64 * WORDS), dtype=bool)
+    table[row, (mix(hashes ^ U64(0x2B7E151628AED2A6)) % U64(64 * WORDS)).astype(np.int64)] = True
+    return list(np.packbits(table, axis=1, bitorder="little").view(np.int64).reshape(-1, WORDS).T)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                total += np.bincount((shingle_sets(Texts(part.column("text")), words)[0] % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["slot", "n"])
-
-    return run
 
+def _may_link(percent: int) -> F.Column:
+    """Whether sets (n, w0..) and (m, v0..) can be similar enough, by an exact bound.
 
-def _rare(held: object, words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, c, text) -> a, c, n, token: the rarest shingles, of which two similar sets share one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = held.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, first, last = shingle_sets(Texts(part.column("text")), words)
-                n = last - first
-                take = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
-                row = np.repeat(np.arange(part.num_rows), n)
-                order = np.lexsort((hashes, often[(hashes % U64(SLOTS)).astype(np.int64)], row))
-                keep = order[np.arange(len(order)) - first[row] < take[row]]
-                row = pa.array(row[keep])
-                yield pa.RecordBatch.from_arrays([part.column("a").take(row), part.column("c").take(row), pa.array(n).take(row), _signed(hashes[keep])], names=["a", "c", "n", "token"])
-
-    return run
-
-
-def _crossing(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (a, component c) of different components that may be similar.
-
-    Two sets of similarity s share one of their rarest (1 - s) * size + 1 shingles under any one
-    order of shingles. The order here is by how many members hold a shingle (counted in SLOTS
-    slots; a shared slot changes the order for all alike), so passages that many members share come
-    last and make no pairs.
+    A slot that one set has and the other hasn't stands for a shingle that isn't shared; so the
+    shared ones are at most the size less the number of such slots, on either side.
     """
-    own = members.select("a", "c").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("a"), "text").join(own, "a").select("a", "c", "text"), "members")
-    often = np.zeros(SLOTS, np.int32)
-    for r in texts.select("text").mapInArrow(_tally(words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        often[r.column("slot").to_numpy()] = np.minimum(r.column("n").to_numpy(), 2**31 - 1)
-    held = docs.sparkSession.sparkContext.broadcast(often)
-    rare = written(texts.mapInArrow(_rare(held, words, percent), "a long, c long, n long, token long"), "rare")
-    several = rare.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
-    some = rare.join(several, "token", "left_semi")
-    other = some.select("token", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
-    close = (F.col("c") > F.col("d")) & (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
-    out = written(some.join(other, "token").where(close).select("a", "b").distinct(), "crossing")
-    drop(texts, rare)
-    return out
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
+    need = percent * (F.col("n") + F.col("m"))
+    return ((100 + percent) * (F.col("n") - only("w", "v")) >= need) & ((100 + percent) * (F.col("m") - only("v", "w")) >= need)
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -210,11 +173,11 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHING
     kept, or none. Other columns of docs are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_sign(bands, rows, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+    signed = written(docs.mapInArrow(_sign(bands, rows, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{w} long" for w in BITS)), "signatures")
     alone = "doc_id IS NULL OR n_shingles = 0"
     least = signed.where(f"NOT ({alone})").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     tagged = written(
-        signed.where(f"NOT ({alone})").join(least, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.expr("IF(doc_id = rep, bands, NULL)").alias("bands")),
+        signed.where(f"NOT ({alone})").join(least, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.expr("IF(doc_id = rep, bands, NULL)").alias("bands"), *BITS),
         "vertices",
     )
     buckets = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.explode("bands").alias("key"))
@@ -227,12 +190,15 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHING
     label = found.select(F.col("v").alias("a"), "component")
     members = shared.join(label, "a", "left").select("key", "a", F.coalesce("component", "a").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    open_members = written(members.join(split, "key", "left_semi"), "open")
-    crossing = _crossing(open_members, docs, words, percent).join(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    own = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), *BITS)
+    open_members = written(members.join(split, "key", "left_semi").join(own, "a"), "open")
+    other = open_members.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(BITS)])
+    crossing = open_members.join(other, "key").where((F.col("c") > F.col("d")) & _may_link(percent)).select("a", "b").distinct()
+    crossing = written(crossing.join(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "crossing")
     more = _linked(crossing, docs, words, percent)
     final = components(links.unionByName(more), "a", "b")
     reach = tagged.select("doc_id", "n_shingles", "rep").join(final.withColumnRenamed("v", "rep"), "rep", "left")
     linked = reach.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     rest = signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    drop(shared, open_members, links, more)
+    drop(shared, open_members, crossing, links, more)
     return linked.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
