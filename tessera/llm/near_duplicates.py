@@ -190,10 +190,12 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHING
     label = found.select(F.col("v").alias("a"), "component")
     members = shared.join(label, "a", "left").select("key", "a", F.coalesce("component", "a").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    own = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), *BITS)
+    own = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), "bands", *BITS)
     open_members = written(members.join(split, "key", "left_semi").join(own, "a"), "open")
-    other = open_members.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(BITS)])
-    crossing = open_members.join(other, "key").where((F.col("c") > F.col("d")) & _may_link(percent)).select("a", "b").distinct()
+    other = open_members.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bands").alias("bands_b"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(BITS)])
+    # each pair in one of its buckets only, the one of the least key
+    once = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("key")
+    crossing = open_members.join(other, "key").where((F.col("c") > F.col("d")) & _may_link(percent) & once).select("a", "b").distinct()
     crossing = written(crossing.join(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "crossing")
     more = _linked(crossing, docs, words, percent)
     final = components(links.unionByName(more), "a", "b")
