@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...], most: float, share: floa
     before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
     rest = by_ratio.rowsBetween(0, W.unboundedFollowing)
     levels = capped.withColumn("level", (share * F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    # the level is where the first source in the order has a cap above what it leaves
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy())
+    # the level is that of the first source in the order whose cap isn't below it; later ones' are lower
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy())
     return levels.select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce(level, F.max("ratio").over(W.partitionBy()))).alias("target"))
 
 

@@ -32,7 +32,7 @@ levels AS (
       / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted),
 goal AS (
-  SELECT source, source_size, least(cap, weight * coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), max(ratio) OVER ()))::DOUBLE AS target FROM levels),
+  SELECT source, source_size, least(cap, weight * coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), max(ratio) OVER ()))::DOUBLE AS target FROM levels),
 placed AS (
   SELECT d.*, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS so_far
   FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
