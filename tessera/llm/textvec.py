@@ -141,7 +141,7 @@ def _fold(words: np.ndarray) -> int:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about most_bytes (one row at least)."""
     if not batch.num_rows:
         return
