@@ -184,13 +184,16 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHING
     leads = buckets.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("key", "b")
     shared = written(buckets.join(leads, "key").distinct(), "buckets")
     pairs = shared.where("a <> b").select("a", "b").distinct()
-    links = _linked(pairs, docs, words, percent)
+    # the bound needs no texts: pairs that can't be similar end here
+    own = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), "bands", *BITS)
+    theirs = own.select(F.col("a").alias("b"), F.col("n").alias("m"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(BITS)])
+    close = written(pairs.join(own.drop("bands"), "a").join(theirs, "b").where(_may_link(percent)).select("a", "b").distinct(), "pairs")
+    links = _linked(close, docs, words, percent)
     found = components(links, "a", "b")
     # Members whose component isn't the bucket's lead's are tried against the bucket's other components.
     label = found.select(F.col("v").alias("a"), "component")
     members = shared.join(label, "a", "left").select("key", "a", F.coalesce("component", "a").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    own = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), "bands", *BITS)
     open_members = written(members.join(split, "key", "left_semi").join(own, "a"), "open")
     other = open_members.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bands").alias("bands_b"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(BITS)])
     # each pair in one of its buckets only, the one of the least key
@@ -202,5 +205,5 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHING
     reach = tagged.select("doc_id", "n_shingles", "rep").join(final.withColumnRenamed("v", "rep"), "rep", "left")
     linked = reach.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     rest = signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    drop(shared, open_members, crossing, links, more)
+    drop(shared, close, open_members, crossing, links, more)
     return linked.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
