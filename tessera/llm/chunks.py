@@ -1,9 +1,11 @@
-"""Repeated passages by content-defined chunking with a gear rolling hash.
-
-The gear hash of a byte is the sum of the table values of the last 32 bytes, each shifted by its
-distance; a chunk ends after a byte whose hash is below 2^32 / AVERAGE. Ends depend on 32 bytes
-only, so after an insertion the chunks fall back into step. A chunk whose digest has an earlier
-place in the table is a repeat; neighbouring repeats are one passage, reported from min_words on.
+"""Repeated passages by content-defined chunking: chunks end at winnowed words.
+
+Every word has a hash of it and the word before; of every WINDOW neighbouring words of a text the
+one of the least hash ends a chunk, ties to the first. Ends depend on the words of one window only,
+so equal stretches have equal ends, and no chunk between two ends has more than WINDOW words. A
+chunk whose digest has an earlier place in the table is a repeat; neighbouring repeats are one
+passage, reported from min_words on. Of a repeated passage of n words the repeated chunks hold
+n - 2 * WINDOW words at least: one of min_words + 2 * WINDOW = 50 words is always found.
 Chunks are never joined with others in groups: digests are counted and their first places joined.
 """
 
@@ -20,18 +22,18 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import written
 from tessera.llm.textvec import NON_SPACE, Texts, mix, slices
 
-#: mean bytes of a chunk
-AVERAGE = 40
+#: words of which one ends a chunk: the most words of a chunk, about twice the mean
+WINDOW = 15
 #: words of a reported passage
 MIN_WORDS = 20
-#: bytes that decide whether a chunk ends
+#: bytes of the rolling hash
 REACH = 32
 
 GEAR = (mix(np.arange(256, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
-    """The rolling hash at every byte, by doubling: sums of 1, 2, 4, ... 32 bytes."""
+    """The rolling hash at every byte, by doubling: sums of 1, 2, 4, ... 32 bytes; cut() doesn't use it."""
     h = GEAR[raw]
     reach = 1
     while reach < REACH:
@@ -41,27 +43,44 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut(texts: Texts, average: int = AVERAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, end) of every chunk, in order; bytes before a row's start don't count."""
+def cut(texts: Texts, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, end) of every chunk, in order; what stands in other rows doesn't count."""
     if not len(texts.raw):
         return (np.zeros(0, np.int64),) * 3
-    end = gear(texts.raw) < np.uint32((1 << 32) // average)
-    # the first bytes of a row see the row before: they end no chunk, as a short reach would end others
-    full = np.flatnonzero(texts.ends > texts.starts)
-    warm = np.concatenate([np.arange(s, min(s + REACH - 1, e)) for s, e in zip(texts.starts[full].tolist(), texts.ends[full].tolist(), strict=True)])
-    end[warm] = False
-    end[texts.ends[full] - 1] = True
+    first, last, row = texts.tokens(NON_SPACE)
+    words = texts.hashes(first, last, lower=False)
+    # the first word of a row has none before it and ends no chunk
+    second = np.flatnonzero(row[1:] == row[:-1]) + 1
+    pairs = mix(words[second - 1] * np.uint64(0xD6E8FEB86659FD93) + words[second])
+    # the place in the low half: ties go to the first
+    least = (pairs & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(pairs), dtype=np.uint64)
+    for k in _steps(window):
+        least = np.minimum(least[:-k], least[k:]) if len(least) > k else least[:0]
+    inside = row[second[: len(least)]] == row[second[len(second) - len(least) :]]
+    chosen = np.unique(least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    end = np.zeros(len(texts.raw), dtype=bool)
+    end[last[second[chosen]] - 1] = True
+    end[texts.ends[texts.ends > texts.starts] - 1] = True
     stops = np.flatnonzero(end) + 1
     starts = np.append(0, stops[:-1])
     return np.searchsorted(texts.ends, starts, side="right"), starts, stops
 
 
-def _chunks(average: int):  # noqa: ANN202
+def _steps(window: int) -> list[int]:
+    """Shifts whose minima, taken one after the other, cover window places: 1, 2, 4, ... and the rest."""
+    steps, reach = [], 1
+    while reach < window:
+        steps.append(min(reach, window - reach))
+        reach += steps[-1]
+    return steps
+
+
+def _chunks(window: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"))
-                rows, starts, stops = cut(texts, average)
+                rows, starts, stops = cut(texts, window)
                 kind = NON_SPACE[texts.raw]
                 begins = kind.astype(np.int64)
                 if len(begins) > 1:
@@ -86,7 +105,7 @@ def _chunks(average: int):  # noqa: ANN202
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id, first_char, n_chars, n_words, source_doc_id: the later copies of repeated passages.
 
     docs: doc_id, text. A passage is a run of chunks each of which stands earlier in the table, by
@@ -95,7 +114,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, average: int
     null doc_id are left out; rows that repeat a doc_id are read as one document, chunk by chunk.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    chunks = written(docs.mapInArrow(_chunks(average), "doc_id long, chunk int, at int, n_chars int, n_words int, digest long"), "chunks")
+    chunks = written(docs.mapInArrow(_chunks(window), "doc_id long, chunk int, at int, n_chars int, n_words int, digest long"), "chunks")
     firsts = chunks.groupBy("digest", "n_chars").agg(F.min("doc_id").alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = chunks.join(firsts, ["digest", "n_chars"])
     # in the source itself only the first place counts as first

@@ -132,6 +132,19 @@ def test_chunks_cover_the_rows_and_resist_insertions():
     assert len(a & b) >= len(a) - 3
 
 
+def test_repeated_chunks_of_any_passage_of_50_words_hold_20():
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("aeiou") * rng.randrange(1, 4) + rng.choice("bcdfg") + str(rng.randrange(30)) for _ in range(n)]
+    for n in (50, 51, 60, 90):
+        for _ in range(150):
+            passage = words(n)
+            t = Texts(pa.array([" ".join(words(rng.randrange(40)) + passage + words(rng.randrange(40))) for _ in range(2)]))
+            rows, starts, stops = chunks.cut(t)
+            d = t.hashes(starts, stops, lower=False)
+            again = np.isin(d, d[rows == 0]) & (rows == 1)
+            assert sum(len(bytes(t.raw[a:b]).split()) for a, b in zip(starts[again], stops[again], strict=True)) >= 20
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
     vocabulary = rng.integers(1, 2**62, 120)
