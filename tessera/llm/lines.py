@@ -10,6 +10,11 @@ with its gram, for certain once it has four times min_words words.
 Each fingerprint is joined to its first place in the table, by (doc_id, text, line), and a match
 with an earlier place is extended line by line both ways as far as the two texts agree. The lines
 covered are a later repeated run. Ties between equal hashes go to the earlier line.
+
+The first place of a fingerprint may agree with less of a text than another earlier place. So the
+shortest runs of min_words words from every line on and up to every line are joined to their first
+places too, and those that hold a line not covered above are later repeated runs as well. A repeated
+run of min_words words is made of such shortest runs, so none of its lines is left out.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The later repeated runs: doc_id, text_md5, first_line, last_line, n_words, source_doc_id, source_line.
 
     docs: doc_id, text. Lines count from 0. One row per run and place it repeats: the first place
-    in the table of one of its fingerprints, by doc_id (null last), md5 of the text and line.
+    in the table of one of its fingerprints, or of a shortest run with lines that those leave out,
+    by doc_id (null last), md5 of the text and line.
     Texts without a run of min_words words, null and empty texts have no rows. Two rows of equal
     doc_id and text are one text and not repeats of each other; other copies repeat the first.
     """
@@ -92,17 +98,51 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.min(F.struct("s", F.expr("b[s - 1].line").alias("line"), F.expr("b[s - 1].ahead").alias("ahead"))).alias("at"),
         F.max(F.struct("e", F.expr("b[e - 1].line").alias("line"), F.expr("b[e - 1].ahead + b[e - 1].words").alias("upto"))).alias("to"),
     )
-    return runs.select(
+    runs = written(runs.select(*key, "a_id", "shift", "s", "e", "at.line", "at.ahead", F.col("to.line").alias("last_line"), "to.upto"), "runs")
+    return runs.unionByName(_left_out(lines, runs, min_words)).select(
         "doc_id",
         "text_md5",
-        F.col("at.line").cast("long").alias("first_line"),
-        F.col("to.line").cast("long").alias("last_line"),
-        (F.col("to.upto") - F.col("at.ahead")).cast("long").alias("n_words"),
+        F.col("line").cast("long").alias("first_line"),
+        F.col("last_line").cast("long").alias("last_line"),
+        (F.col("upto") - F.col("ahead")).cast("long").alias("n_words"),
         F.col("a_id").alias("source_doc_id"),
         (F.col("s") - F.col("shift")).cast("long").alias("source_line_with_words"),
     )
 
 
+def _left_out(lines: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """Later runs of several lines that hold a line outside of `runs`, in the columns of `runs`.
+
+    A line of min_words words is its own fingerprint and never left out, so it needs no shortest run.
+    """
+    key = ["doc_id", "text_md5"]
+    upto = F.col("ahead") + F.col("words")
+    from_line = W.partitionBy(*key).orderBy("ahead").rangeBetween(0, min_words - 1)
+    up_to_line = W.partitionBy(*key).orderBy("upto").rangeBetween(1 - min_words, 0)
+    part = F.struct("seq", "h", "line", "ahead", "words")
+    both = lines.withColumn("upto", upto).withColumn("x", F.collect_list(part).over(from_line)).withColumn("y", F.collect_list(part).over(up_to_line))
+    both = both.select(*key, F.explode(F.array_distinct(F.array("x", "y"))).alias("g")).where("size(g) > 1 AND aggregate(g, 0L, (n, l) -> n + l.words) >= " + str(min_words))
+    grams = both.select(
+        *key, F.expr("unhex(md5(array_join(g.h, '')))").alias("gram"), F.expr("g[0].seq").alias("s"), F.expr("element_at(g, -1).seq").alias("e"),
+        F.expr("g[0].line").alias("line"), F.expr("g[0].ahead").alias("ahead"), F.expr("element_at(g, -1).line").alias("last_line"), F.expr("element_at(g, -1).ahead + element_at(g, -1).words").alias("upto"),
+    ).distinct()
+    grams = written(grams, "grams")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_md5", F.col("s").alias("seq"))
+    firsts = grams.groupBy("gram").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = grams.join(firsts, "gram").where(~place.eqNullSafe(F.col("at")))
+    covered = runs.groupBy(*key).agg(F.collect_set(F.struct("s", "e")).alias("covered")).select(F.col("doc_id").alias("c_id"), F.col("text_md5").alias("c_md5"), "covered")
+    later = later.join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_md5") == F.col("c_md5")), "left")
+    later = later.where("covered IS NULL OR NOT forall(sequence(s, e), i -> exists(covered, r -> i BETWEEN r.s AND r.e))")
+    later = later.select(*key, F.col("at.doc_id").alias("a_id"), F.col("at.text_md5").alias("a_md5"), (F.col("s") - F.col("at.seq")).alias("shift"), "s", "e", "line", "ahead", "last_line", "upto")
+    # neighbours on one diagonal of two texts are one run
+    by_start = W.partitionBy(*key, "a_id", "a_md5", "shift").orderBy("s", "e")
+    later = later.withColumn("reach", F.max("e").over(by_start.rowsBetween(W.unboundedPreceding, -1)))
+    later = later.withColumn("run", F.sum(F.expr("IF(s <= reach + 1, 0, 1)")).over(by_start))
+    return later.groupBy(*key, "a_id", "a_md5", "shift", "run").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.min("line").alias("line"), F.min("ahead").alias("ahead"), F.max("last_line").alias("last_line"), F.max("upto").alias("upto")
+    ).drop("a_md5", "run")
+
+
 def _null_safe_semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     right = right.select(*[F.col(c).alias(f"_{c}") for c in on])
     cond = F.lit(True)

@@ -92,6 +92,31 @@ def test_repeated_lines(docs, none):
     assert lines.repeated_runs(none).count() == 0 and lines.drop_repeated_runs(none).count() == 0
 
 
+def test_lines_whose_middle_stands_earlier_elsewhere(spark):
+    """Every line of every earlier run of 20 words is covered, wherever the first places of its parts are."""
+    r, texts = random.Random(21), []
+    for k in range(40):
+        a, b, c = prose(12, 1000 + k), prose(30, 2000 + k), prose(13, 3000 + k)
+        texts += [[prose(25, 4000 + k), b, prose(25, 5000 + k)], [prose(30, 6000 + k), a, b, c, prose(9, 7000 + k)], [prose(8, 8000 + k), a, b, c, prose(30, 9000 + k)]]
+    common = [prose(r.randrange(2, 12), 10000 + k) for k in range(6)]
+    texts += [[r.choice(common) for _ in range(r.randrange(2, 12))] for _ in range(60)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for s in range(len(t)):
+            for e in range(s, len(t)):
+                if len(" ".join(t[s : e + 1]).split()) >= 20:
+                    run = tuple(t[s : e + 1])
+                    if run in seen:
+                        want.update((i, n) for n in range(s, e + 1))
+                    seen.add(run)
+    runs = lines.repeated_runs(df).collect()
+    assert {(x.doc_id, n) for x in runs for n in range(x.first_line, x.last_line + 1)} == want
+    for x in runs:
+        n, there = x.last_line - x.first_line + 1, x.source_line_with_words - 1
+        assert texts[x.doc_id][x.first_line : x.last_line + 1] == texts[x.source_doc_id][there : there + n]
+
+
 def test_repeated_passages(docs, none):
     got = {(r.doc_id, r.source_doc_id) for r in chunks.repeated_passages(docs).collect()}
     assert {(2, 1), (3, 1), (11, 10)} <= got and not any(d in (1, 9, 10, 12, 14) for d, _ in got)
