@@ -46,6 +46,8 @@ def hashed_text(text: Column, width: int = 64) -> Column:
     """
     words = F.filter(F.split(F.lower(F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "[UNK]").otherwise(text)), r"[^\p{L}\p{N}\[\]]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(slots, lambda x: x.i == i), F.lit(0.0), lambda n, x: n + x.s))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda n, x: n + x * x))
-    return F.transform(raw, lambda x: (x / F.greatest(norm, F.lit(1e-12))).cast("float"))
+    # lambdas evaluate what they refer to again for each element, save what is bound to a variable
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(found, lambda x: x.i == i), F.lit(0.0), lambda n, x: n + x.s))
+    norm = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda n, x: n + x * x))
+    return once(once(slots, count), lambda raw: once(norm(raw), lambda size: F.transform(raw, lambda x: (x / F.greatest(size, F.lit(1e-12))).cast("float"))))

@@ -89,5 +89,5 @@ def category_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed vectors of the first line of every benchmark item; the hash is not in SQL."""
-    return table(spark, sf_dir, "benchmark").select("item_id", hashed_text(F.split("text", "\n")[0], 32).alias("vector"))
+    """Hashed vectors of the whole text of every document; the hash is not in SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", hashed_text(F.col("text"), 32).alias("vector"))

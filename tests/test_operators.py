@@ -105,3 +105,14 @@ def test_line_ranges_and_signatures(spark):
     assert [tuple(r) for r in df.select(a, b).collect()] == [("12", "15"), ("7", "7"), ("invalid", "invalid")]
     sig = spark.createDataFrame([("move(address to, uint256 n)",), ("idle()",), ("bare",)], "t string")
     assert [tuple(r) for r in sig.select(*rules.signature(F.col("t"))).collect()] == [("move", "address,uint256"), ("idle", ""), ("bare", "")]
+
+
+def test_text_embedding_reads_whole_documents(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    texts = [(1, "first line\nsecond one"), (2, "first line"), (3, "One second, line first"), (4, None)]
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        spark.createDataFrame(texts, f"{key} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.doc_id: r.vector for r in catalogue.queries()["text_embedding"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[1] == got[3] != got[2]
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in got.values())
