@@ -71,5 +71,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         edges = after
         now = edges.agg(F.count("*"), F.sum(F.hash("v", "u").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select("v", F.col("u").alias("component"))
+            out = edges.select("v", F.col("u").alias("component"))
+            out._tessera_path = edges._tessera_path
+            return out
         before = now

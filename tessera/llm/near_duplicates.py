@@ -7,10 +7,13 @@ a value: here all elements of a batch go through the levels together.
 
 Texts with equal shingle sets are one vertex. Pairs of vertices that share a band are candidates:
 first each vertex against the least vertex of its bucket, then, in buckets whose members are still
-in several components, the pairs of different components that an exact bound on 512 hashed slots
-lets through. Pairs inside a component are never made.
-Every link is confirmed on full shingle sets. With 40 bands of 5 rows a pair at similarity 0.75 is
-a candidate with probability 1 - 2e-5, at 0.8 with 1 - 2e-7.
+in several components, the pairs of different components. Pairs inside a component are never made.
+A pair goes on only if an exact bound lets it through: every set has a bitmap of 4 to 8 slots a
+shingle, and a slot that one set fills and the other doesn't stands for a shingle not shared. So
+a group of many texts that resemble each other less than asked ends there, without their texts.
+Only then are texts read, once for all candidates, and every link is confirmed on full shingle
+sets. With 40 bands of 5 rows a pair at similarity 0.75 is a candidate with probability 1 - 2e-5,
+at 0.8 with 1 - 2e-7.
 """
 
 from __future__ import annotations
@@ -28,9 +31,8 @@ from tessera.llm.textvec import U64, Texts, mix, shingle_sets, slices
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 5
-#: 64-bit columns of the slots of a set
-WORDS = 8
-BITS = [f"w{i}" for i in range(WORDS)]
+#: tasks that the rows of one shingle set are dealt over
+SALTS = 16
 
 
 def _draws(h: np.ndarray, level: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +90,29 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _bitmaps(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.ListArray:
+    """For each set, which slots its shingles fall into: a power of two of 64-bit words, n / 16 at least."""
+    n = last - first
+    words = np.where(n > 0, 2 ** np.ceil(np.log2(np.maximum(n / 16, 1))).astype(np.int64), 0)
+    offsets = np.append(0, np.cumsum(words))
+    table = np.zeros(64 * int(offsets[-1]), dtype=bool)
+    row = np.repeat(np.arange(len(n)), n)
+    slot = mix(hashes ^ U64(0x2B7E151628AED2A6)) & (64 * words[row] - 1).astype(np.uint64)
+    table[64 * offsets[row] + slot.astype(np.int64)] = True
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.packbits(table, bitorder="little").view(np.int64)))
+
+
+def _may_link(percent: int) -> str:
+    """Whether sets of n and m shingles with bitmaps w and v can be similar enough, by an exact bound.
+
+    The longer bitmap is folded once where it is twice as long, which from 50 percent on is the most
+    that sizes allow; below that, pairs of other lengths pass. The shared shingles are at most the size less the slots that the other set leaves empty.
+    """
+    folded = lambda x, y: f"IF(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p | q), {x})"
+    fits = lambda size, x, y: f"{100 + percent} * ({size} - aggregate(zip_with({folded(x, y)}, {folded(y, x)}, (p, q) -> bit_count(p & ~q)), 0, (s, k) -> s + k)) >= {percent} * (n + m)"
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) AND (2 * least(size(w), size(v)) < greatest(size(w), size(v)) OR ({fits('n', 'w', 'v')} AND {fits('m', 'v', 'w')}))"
+
+
 def _sign(bands: int, rows: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +126,7 @@ def _sign(bands: int, rows: int, words: int) -> Callable[[Iterator[pa.RecordBatc
                 n = last - first
                 full = np.flatnonzero(n > 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, bands, 0))).astype(np.int32)), _signed(key[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(a), _signed(b), lists, *map(pa.array, _bits(hashes, first, last))], names=["doc_id", "n_shingles", "d1", "d2", "bands", *BITS])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(a), _signed(b), lists, _bitmaps(hashes, first, last)], names=["doc_id", "n_shingles", "d1", "d2", "bands", "bitmap"])
 
     return run
 
@@ -110,15 +135,15 @@ def _confirm(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
     """(a, b, text_a, text_b) -> (a, b) of the pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        held: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             for part in slices(batch, "text_a"):
                 a_id, b_id = part.column("a").to_pylist(), part.column("b").to_pylist()
                 ha, fa, la = shingle_sets(Texts(part.column("text_a")), words)
                 keep = []
-                for i, b in enumerate(b_id):
-                    if held[0] != b:  # rows come sorted by b
-                        held = (b, shingle_sets(Texts(part.column("text_b").slice(i, 1)), words)[0])
+                for i, text in enumerate(part.column("text_b")):
+                    if held[0] != (text := text.as_py()):  # rows of one text mostly come together
+                        held = (text, shingle_sets(Texts(part.column("text_b").slice(i, 1)), words)[0])
                     x, y = ha[fa[i] : la[i]], held[1]
                     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                         continue
@@ -130,38 +155,29 @@ def _confirm(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that full shingle sets confirm, written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that full shingle sets confirm, written. texts: doc_id, text of all of them."""
+    # neither the pairs nor the texts have a size bound: no side is broadcast
     both = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         .select("a", "b", "text_a", "text_b")
         .sortWithinPartitions("b")
     )
-    out = written(both.mapInArrow(_confirm(words, percent), "a long, b long"), "confirmed")
-    drop(texts)
-    return out
-
-
-def _bits(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """For each set, which of 64 * WORDS slots a shingle falls into, as WORDS columns of 64 bits."""
-    row = np.repeat(np.arange(len(first)), last - first)
-    table = np.zeros((len(first), 64 * WORDS), dtype=bool)
-    table[row, (mix(hashes ^ U64(0x2B7E151628AED2A6)) % U64(64 * WORDS)).astype(np.int64)] = True
-    return list(np.packbits(table, axis=1, bitorder="little").view(np.int64).reshape(-1, WORDS).T)
+    return written(both.mapInArrow(_confirm(words, percent), "a long, b long"), "confirmed")
 
 
-def _may_link(percent: int) -> F.Column:
-    """Whether sets (n, w0..) and (m, v0..) can be similar enough, by an exact bound.
+def _representatives(signed: DataFrame) -> DataFrame:
+    """signed with rep, the least doc_id of an equal shingle set (by both digests and the size).
 
-    A slot that one set has and the other hasn't stands for a shingle that isn't shared; so the
-    shared ones are at most the size less the number of such slots, on either side.
+    Only sets that stand in several rows are joined, dealt over SALTS tasks each.
     """
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
-    need = percent * (F.col("n") + F.col("m"))
-    return ((100 + percent) * (F.col("n") - only("w", "v")) >= need) & ((100 + percent) * (F.col("m") - only("v", "w")) >= need)
+    key = ["d1", "d2", "n_shingles"]
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    part = signed.select(*key, "doc_id").withColumn("salt", salt)
+    some = part.groupBy(*key, "salt").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")).groupBy(*key).agg(F.min("low").alias("low"), F.sum("k").alias("k"))
+    many = some.where("k > 1").select(*key, "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return signed.withColumn("salt", salt).join(many.hint("merge"), [*key, "salt"], "left").withColumn("rep", F.coalesce("low", "doc_id")).drop("salt", "low")
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -169,41 +185,44 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, words: int = SHING
 
     A text of fewer words than a shingle is one shingle. Null texts, empty texts and texts without
     words have no shingles and link with nothing. Rows of a null doc_id link with nothing: their
-    component_id is null and they are kept. Rows that repeat a doc_id are one document: all are
-    kept, or none. Other columns of docs are not read.
+    component_id is null and they are kept. Rows that repeat a doc_id are one document, which has
+    the links of all their texts: all are kept, or none. Other columns of docs are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_sign(bands, rows, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{w} long" for w in BITS)), "signatures")
+    signed = written(docs.mapInArrow(_sign(bands, rows, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bitmap array<long>"), "signatures")
     alone = "doc_id IS NULL OR n_shingles = 0"
-    least = signed.where(f"NOT ({alone})").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    tagged = written(
-        signed.where(f"NOT ({alone})").join(least, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.expr("IF(doc_id = rep, bands, NULL)").alias("bands"), *BITS),
-        "vertices",
-    )
-    buckets = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.explode("bands").alias("key"))
+    reps = written(_representatives(signed.where(f"NOT ({alone})").select("doc_id", "n_shingles", "d1", "d2")).select("doc_id", "n_shingles", "d1", "d2", "rep"), "representatives")
+    # a vertex is a representative; it has the bands of all its rows
+    vertices = written(signed.join(reps.where("doc_id = rep").select("doc_id", "n_shingles", "d1", "d2").distinct().hint("merge"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi"), "vertices")
+    buckets = vertices.select(F.col("doc_id").alias("a"), F.explode("bands").alias("key"))
     leads = buckets.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("key", "b")
-    shared = written(buckets.join(leads, "key").distinct(), "buckets")
+    shared = written(buckets.join(leads.hint("merge"), "key").distinct(), "buckets")
+    own = vertices.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("bitmap").alias("w"))
+    theirs = own.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("w").alias("v"))
+    may_link = _may_link(percent)
     pairs = shared.where("a <> b").select("a", "b").distinct()
-    # the bound needs no texts: pairs that can't be similar end here
-    own = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), "bands", *BITS)
-    theirs = own.select(F.col("a").alias("b"), F.col("n").alias("m"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(BITS)])
-    close = written(pairs.join(own.drop("bands"), "a").join(theirs, "b").where(_may_link(percent)).select("a", "b").distinct(), "pairs")
-    links = _linked(close, docs, words, percent)
+    close = written(pairs.join(own.hint("merge"), "a").join(theirs.hint("merge"), "b").where(may_link).select("a", "b").distinct(), "pairs")
+    texts = written(docs.join(shared.select(F.col("a").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    links = _linked(close, texts, words, percent)
     found = components(links, "a", "b")
     # Members whose component isn't the bucket's lead's are tried against the bucket's other components.
     label = found.select(F.col("v").alias("a"), "component")
     members = shared.join(label, "a", "left").select("key", "a", F.coalesce("component", "a").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    open_members = written(members.join(split, "key", "left_semi").join(own, "a"), "open")
-    other = open_members.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bands").alias("bands_b"), *[F.col(w).alias(f"v{i}") for i, w in enumerate(BITS)])
-    # each pair in one of its buckets only, the one of the least key
-    once = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("key")
-    crossing = open_members.join(other, "key").where((F.col("c") > F.col("d")) & _may_link(percent) & once).select("a", "b").distinct()
-    crossing = written(crossing.join(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "crossing")
-    more = _linked(crossing, docs, words, percent)
-    final = components(links.unionByName(more), "a", "b")
-    reach = tagged.select("doc_id", "n_shingles", "rep").join(final.withColumnRenamed("v", "rep"), "rep", "left")
-    linked = reach.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    drop(shared, close, open_members, crossing, links, more)
-    return linked.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    open_members = written(members.join(split.hint("merge"), "key", "left_semi").join(own.hint("merge"), "a"), "open")
+    other = open_members.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("w").alias("v"))
+    crossing = open_members.join(other, "key").where(f"c > d AND {may_link}").select("a", "b").distinct()
+    crossing = written(crossing.join(close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "crossing")
+    more = _linked(crossing, texts, words, percent)
+    # rows of one doc_id with several sets hold their representatives together
+    several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b < z").select("doc_id", "b")
+    same_id = reps.join(several.hint("merge"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    final = components(links.unionByName(more).unionByName(same_id), "a", "b")
+    linked = reps.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    empty = signed.where(alone).select("doc_id", "n_shingles")
+    known = linked.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    rest = empty.join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = linked.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = written(out, "groups")
+    drop(signed, reps, vertices, shared, close, texts, links, found, open_members, crossing, more, final)
+    return out

@@ -60,6 +60,28 @@ def test_chain_of_similar_texts_is_one_group(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicate_groups(df).collect()} == expected
 
 
+def test_rows_of_one_doc_id_are_one_document(spark):
+    b = prose(90, 50)
+    df = spark.createDataFrame([(3, b), (5, A), (5, b), (5, None), (9, NEAR), (11, prose(80, 51)), (None, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicate_groups(df).where("doc_id IS NOT NULL").collect())
+    assert got == [(3, 86, 3, True), (5, 0, 3, False), (5, 86, 3, False), (5, 116, 3, False), (9, 116, 3, False), (11, 76, 11, True)]
+
+
+def test_edited_copies_are_grouped_as_by_brute_force(spark):
+    """Copies of one text with random edits lie on both sides of the limit, so buckets hold several components."""
+    r, base = random.Random(31), prose(150, 52).split(" ")
+    texts = [" ".join(f"e{k}x{i}" if r.random() < r.choice((0.005, 0.02, 0.04)) else w for i, w in enumerate(base)) for k in range(60)]
+    sets = [{tuple(t.split(" ")[i : i + 5]) for i in range(146)} for t in texts]
+    group = list(range(60))
+    pairs = [(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in range(60):
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 2 < len(set(group)) < 50
+    assert {x.doc_id: x.component_id for x in near_duplicates.near_duplicate_groups(df).collect()} == dict(enumerate(group))
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS)
