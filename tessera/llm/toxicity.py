@@ -1,15 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded sample of the labelled rows. Their vocabulary is the terms that tell the
-labels apart (chi-square over the examples); inverse document frequencies count every document of
-the corpus. Weights are (1 + ln tf) * ln(1 + N / df), vectors have length 1.
-
-The index keeps, for each term, its examples in blocks of BLOCK with the largest weight of each
-block. A query adds up block bounds, scores the most promising blocks first, and leaves out only
-blocks whose bound is below the k-th best cosine so far: the k nearest are exact, ties by example
-number. A neighbour votes with weight 1 / (0.05 + 1 - cosine). The share of toxic votes and the
-best cosines are turned into a probability by a logistic curve fitted to the examples themselves,
-each without its own vote, and moved to the share of toxic labels among all labelled rows.
+Examples are a bounded sample of the labelled rows; every word of their texts is a term. A term
+weighs (1 + ln tf) * ln(1 + N / df) * r: N and df count every document of the corpus, and r, from
+FLOOR to 1, says how well the term tells the examples' labels apart (chi-square x with continuity
+correction, as x^4 / (x^4 + DOUBT^4)). No term is left out; words that no example holds can't add to any cosine and are not
+counted in a text's length. Vectors have length 1.
+
+The index keeps, for each term, its examples by blocks of BLOCK, a pointer to each block's and the
+largest weight there. Examples of the same strongest shared term stand together, so that blocks differ. A
+query adds up block bounds, scores the most promising blocks first, reads no posting of a block
+whose bound is below the k-th best cosine so far: the k nearest are exact, ties by doc_id. A
+document that is an example itself is scored as if that example weren't there. A neighbour votes with weight
+1 / (1.05 - cosine). The share of toxic votes and the best cosine are turned into a probability by
+a logistic curve fitted to the examples themselves, each without its own vote, and moved to the
+share of toxic labels among all labelled rows.
 """
 
 from __future__ import annotations
@@ -20,16 +24,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import drop, written
 from tessera.llm.textvec import ALNUM, Texts, slices
 
-#: bounds of the fit: examples of each label, and terms of the vocabulary
+#: bounds of the fit: examples of each label, and bytes of their texts
 EXAMPLES_PER_LABEL = 1500
-TERMS = 2048
+EXAMPLE_BYTES = 32 << 20
+#: share of its weight that a term keeps which tells nothing, and the chi-square at half of the rest
+FLOOR, DOUBT = 0.02, 25.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 16
 
 
 def distinct_terms(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,61 +51,88 @@ def distinct_terms(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[first], h[first], np.diff(np.append(first, len(h)))
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0]..end[0]-1, begin[1]..end[1]-1, and so on."""
+    size = end - begin
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 @dataclass
 class Index:
-    """Postings of the examples: term t's are ids[begin[t]:begin[t+1]], in order of example number."""
+    """Term t's blocks are entries first[t]:first[t+1], entry e's postings start[e]:start[e+1]."""
 
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
-    begin: np.ndarray
-    ids: np.ndarray
+    gain: np.ndarray  # of each term: idf and how well it tells labels apart
+    first: np.ndarray
+    block: np.ndarray  # of each entry
+    top: np.ndarray  # largest weight of each entry
+    start: np.ndarray
+    ids: np.ndarray  # example of each posting
     weights: np.ndarray
-    block_max: np.ndarray  # terms x blocks
     labels: np.ndarray
     keys: np.ndarray  # doc_id of each example
     base: float  # share of toxic labels among all labelled rows
     curve: np.ndarray
 
-    def vector(self, h: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms and their weights, of length 1."""
-        at = np.minimum(np.searchsorted(self.terms, h), max(len(self.terms) - 1, 0))
-        known = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are terms, and where."""
+        if not len(self.terms):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        return self.terms[at] == h, at
+
+    def vector(self, h: np.ndarray, tf: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights, of length 1; terms of one example alone are none without it."""
+        known, at = self.lookup(h)
+        if without >= 0:
+            place = self.start[self.first[at]]
+            known &= (self.start[self.first[at + 1]] - place > 1) | (self.ids[place] != without)
         t = at[known]
-        w = (1 + np.log(tf[known])) * self.idf[t]
+        w = (1 + np.log(tf[known])) * self.gain[t]
         norm = np.sqrt((w * w).sum())
         return (t, w / norm) if norm > 0 else (t[:0], w[:0])
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine; ties to the smaller number."""
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1, read: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest positive cosine; ties to the smaller doc_id.
+
+        read: postings read and postings of the query's terms are added to it.
+        """
         if not len(t):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.block_max[t]
-        slots = np.concatenate([np.arange(self.begin[i], self.begin[i + 1]) for i in t])
-        gain = np.repeat(w, self.begin[t + 1] - self.begin[t])
-        ids = self.ids[slots]
-        blocks = ids // BLOCK
+        entries = _ranges(self.first[t], self.first[t + 1])
+        gain = np.repeat(w, self.first[t + 1] - self.first[t])
+        blocks = self.block[entries]
+        bound = np.bincount(blocks, weights=gain * self.top[entries])
         todo = np.argsort(-bound, kind="stable")
         todo = todo[bound[todo] > 0]
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        begin, step = 0, 2
+        begin, step = 0, 4
         while begin < len(todo):
+            stop = len(todo)
             if len(best) >= k:  # no block from here on reaches the k-th best
-                stop = int(np.searchsorted(-bound[todo], -(best[k - 1] - 1e-12), side="right"))
+                stop = int(np.searchsorted(-bound[todo], -(best[k - 1] - 1e-9), side="right"))
                 if stop <= begin:
                     break
-                part = todo[begin : min(stop, begin + step)]
-            else:
-                part = todo[begin : begin + step]
+            part = todo[begin : min(stop, begin + step)]
             begin, step = begin + len(part), step * 2
             here = np.zeros(len(bound), bool)
             here[part] = True
             sel = here[blocks]
-            score = np.bincount(ids[sel], weights=gain[sel] * self.weights[slots[sel]], minlength=len(self.labels))
+            begins, ends = self.start[entries[sel]], self.start[entries[sel] + 1]
+            slots = _ranges(begins, ends)
+            score = np.bincount(self.ids[slots], weights=np.repeat(gain[sel], ends - begins) * self.weights[slots])
+            if read is not None:
+                read[0] += len(slots)
             found = np.flatnonzero(score > 0)
             found = found[found != without]
-            all_ids, all_scores = np.append(best_ids, found), np.append(best, score[found])
-            order = np.lexsort((all_ids, -all_scores))[:k]
-            best_ids, best = all_ids[order], all_scores[order]
+            ids, scores = np.append(best_ids, found), np.append(best, np.round(score[found], 12))
+            if len(scores) > k:
+                near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                ids, scores = ids[near], scores[near]
+            order = np.lexsort((self.keys[ids], -scores))[:k]
+            best_ids, best = ids[order], scores[order]
+        if read is not None:
+            read[1] += int((self.start[self.first[t + 1]] - self.start[self.first[t]]).sum())
         return best_ids, best
 
     def evidence(self, ids: np.ndarray, cosines: np.ndarray) -> np.ndarray:
@@ -124,24 +157,48 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def build(rows: list[tuple[int, int, list[int], list[int]]], frequency: dict[int, int], n_docs: int, base: float) -> Index:
-    """rows: (doc_id, label, term hashes, tf) of the examples; frequency: documents of each term."""
-    terms = np.array(sorted(np.array([t for t in frequency], dtype=np.int64).view(np.uint64).tolist()), dtype=np.uint64)
-    df = np.array([frequency[int(np.array([t], np.uint64).view(np.int64)[0])] for t in terms.tolist()], dtype=np.float64)
-    idf = np.log1p(n_docs / np.maximum(df, 1))
-    n, blocks = len(rows), max(1, -(-len(rows) // BLOCK))
-    index = Index(terms, idf, np.zeros(len(terms) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), blocks)), np.array([r[1] for r in rows], dtype=np.float64), np.array([r[0] for r in rows], dtype=np.int64), base, np.zeros(4))
-    vectors = [index.vector(np.array(h, dtype=np.int64).view(np.uint64), np.array(tf, dtype=np.float64)) for _, _, h, tf in rows]
-    t = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
-    w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-    ids = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-    order = np.lexsort((ids, t))
-    t, index.weights, index.ids = t[order], w[order], ids[order]
-    index.begin = np.searchsorted(t, np.arange(len(terms) + 1))
-    np.maximum.at(index.block_max, (t, index.ids // BLOCK), index.weights)
-    if n:
-        x = np.array([index.evidence(*index.nearest(*v, NEIGHBOURS, without=i)) for i, v in enumerate(vectors)])
-        index.curve = _fit_curve(x, index.labels)
+def telling(by_label: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int]) -> np.ndarray:
+    """FLOOR to 1 for each term, from how many examples of label 0 and of label 1 hold it."""
+    (b, a), (n0, n1) = by_label, sizes
+    chi = np.maximum(np.abs(a * (n0 - b) - b * (n1 - a)) - (n1 + n0) / 2, 0) ** 2 * (n1 + n0) / np.maximum((a + b) * np.maximum(n1 + n0 - a - b, 1) * max(n1, 1) * max(n0, 1), 1)
+    return FLOOR + (1 - FLOOR) * chi**4 / (chi**4 + DOUBT**4)
+
+
+def build(keys: np.ndarray, labels: np.ndarray, rows: np.ndarray, h: np.ndarray, tf: np.ndarray, frequency: dict[int, int], n_docs: int, base: float) -> Index:
+    """keys, labels: doc_id and label of the examples; rows, h, tf: their terms (see distinct_terms);
+    frequency: documents of each term, by signed hash."""
+    keys, labels = np.asarray(keys, np.int64), np.asarray(labels, np.float64)
+    terms, term = np.unique(h, return_inverse=True)
+    term = term.astype(np.int64)
+    df = np.array([frequency.get(x, 1) for x in terms.view(np.int64).tolist()], dtype=np.float64)
+    held = tuple(np.bincount(term[labels[rows] == y], minlength=len(terms)).astype(np.float64) for y in (0, 1))
+    gain = np.log1p(n_docs / np.maximum(df, 1)) * telling(held, (int((labels == 0).sum()), int((labels == 1).sum())))
+    w = (1 + np.log(tf)) * gain[term]
+    norm = np.sqrt(np.bincount(rows, weights=w * w, minlength=len(keys)))
+    w = w / np.maximum(norm[rows], 1e-300)
+    # examples in order of the strongest of their terms that several share, then of doc_id
+    strongest = np.full(len(keys), -1)
+    by_weight = np.lexsort((term, w))
+    by_weight = by_weight[np.bincount(term, minlength=len(terms))[term[by_weight]] >= BLOCK // 2]
+    strongest[rows[by_weight]] = term[by_weight]
+    order = np.lexsort((keys, strongest))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    ids = place[rows]
+    by_term = np.lexsort((ids, term))
+    term, ids, w = term[by_term], ids[by_term], w[by_term]
+    block = ids // BLOCK
+    new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+    top = np.maximum.reduceat(w, new) if len(new) else np.zeros(0)
+    index = Index(terms, gain, np.searchsorted(term[new], np.arange(len(terms) + 1)), block[new], top, np.append(new, len(term)), ids, w, labels[order], keys[order], base, np.zeros(4))
+    if len(keys):
+        x = []
+        own = np.argsort(rows, kind="stable")
+        cut = np.searchsorted(rows[own], np.arange(len(keys) + 1))
+        for old in order.tolist():
+            mine = own[cut[old] : cut[old + 1]]
+            x.append(index.evidence(*index.nearest(*index.vector(h[mine], tf[mine], int(place[old])), NEIGHBOURS, int(place[old]))))
+        index.curve = _fit_curve(np.array(x), index.labels)
     return index
 
 
@@ -152,16 +209,6 @@ def score(index: Index, ids: np.ndarray, cosines: np.ndarray) -> float:
     return 1 / (1 + np.exp(-np.clip(z + np.log(base / (1 - base)), -30, 30)))
 
 
-def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, text) -> (doc_id, label, terms, tf)."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            rows, h, tf = distinct_terms(Texts(part.column("text")))
-            offsets = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=part.num_rows))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *lists], names=["doc_id", "label", "terms", "tf"])
-
-
 def _count(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents of a partition that hold each of the (sorted) terms; term 0 stands for all documents."""
 
@@ -189,23 +236,16 @@ def _judge(held: object, k: int, below: float | None = None) -> Callable[[Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = held.value
-        width = max(len(index.terms), 1)
+        own = {int(key): i for i, key in enumerate(index.keys.tolist())}
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = Texts(part.column("text"))
-                starts, stops, rows = texts.tokens(ALNUM)
-                h = texts.hashes(starts, stops)
-                at = np.minimum(np.searchsorted(index.terms, h), max(len(index.terms) - 1, 0))
-                known = index.terms[at] == h if len(index.terms) else np.zeros(len(h), bool)
-                pairs, tf = np.unique(rows[known] * width + at[known], return_counts=True)
-                row, term = pairs // width, pairs % width
-                weight = (1 + np.log(tf)) * index.idf[term] if len(term) else np.zeros(0)
-                begin = np.searchsorted(row, np.arange(part.num_rows + 1))
+                rows, h, tf = distinct_terms(Texts(part.column("text")))
+                begin = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 scores, near, cos = np.zeros(part.num_rows), [], []
-                for i in range(part.num_rows):
-                    t, w = term[begin[i] : begin[i + 1]], weight[begin[i] : begin[i + 1]]
-                    norm = np.sqrt((w * w).sum())
-                    ids, c = index.nearest(t, w / norm, k) if norm > 0 else (np.zeros(0, np.int64), np.zeros(0))
+                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                    without = own.get(doc_id, -1)
+                    t, w = index.vector(h[begin[i] : begin[i + 1]], tf[begin[i] : begin[i + 1]], without)
+                    ids, c = index.nearest(t, w, k, without)
                     scores[i] = score(index, ids, c)
                     near.append(index.keys[ids])
                     cos.append(c)
@@ -219,12 +259,13 @@ def _judge(held: object, k: int, below: float | None = None) -> Callable[[Iterat
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples_per_label: int = EXAMPLES_PER_LABEL, n_terms: int = TERMS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples_per_label: int = EXAMPLES_PER_LABEL, example_bytes: int = EXAMPLE_BYTES) -> Index:
     """The index of labelled examples. labels: doc_id and label (0 or 1); docs: doc_id and text.
 
     Labels that are null or neither 0 nor 1, and labels of documents not there, are left out; of
-    several labels of one doc_id the largest holds. The examples are those of the smallest md5 of
-    the doc_id, examples_per_label of each label at most; document frequencies are of all docs.
+    several labels of one doc_id the largest holds, and of several texts the one of the least md5.
+    The examples are those of the smallest md5 of the doc_id, examples_per_label of each label at
+    most and as many as hold example_bytes bytes of text; document frequencies are of all docs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     clean = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -232,32 +273,26 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_label: int = EXAMPLES_P
     base = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = None
     for label in (0, 1):
-        some = clean.where(F.col("label") == label).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(examples_per_label)
+        some = clean.where(F.col("label") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(examples_per_label)
         picked = some if picked is None else picked.unionByName(some)
-    examples = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    found = written(examples.mapInArrow(_terms_of, "doc_id long, label int, terms array<long>, tf array<int>"), "examples")
-    n = dict(found.groupBy("label").count().collect())
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / ((a + b) * F.greatest(n1 + n0 - a - b, F.lit(1.0)) * max(n1, 1) * max(n0, 1))
-    by_term = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
-    # 3.84 is the 5 % point of chi-square with one degree of freedom, times a factor for many terms
-    chosen = by_term.where(a + b >= 3).withColumn("chi", chi).where("chi > 15").orderBy(F.desc("chi"), "term").limit(n_terms)
-    terms = np.sort(np.array([r.term for r in chosen.select("term").collect()], dtype=np.int64).view(np.uint64))
-    frequency = dict(docs.select("text").mapInArrow(_count(terms), "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    n_docs = frequency.pop(0, 0)
-    rows = found.select("doc_id", "label", "terms", "tf").withColumn("both", F.arrays_zip("terms", "tf")).withColumn("both", F.filter("both", lambda x: x.terms.isin(terms.view(np.int64).tolist()) if len(terms) else F.lit(False)))
-    rows = sorted((r.doc_id, r.label, list(r.h), list(r.tf)) for r in rows.select("doc_id", "label", F.col("both.terms").alias("h"), F.col("both.tf").alias("tf")).collect())
-    drop(found)
-    return build(rows, frequency, n_docs, base)
+    # picked has 2 * examples_per_label rows at most
+    found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.octet_length("text"))
+    found = found.where(F.col("size") <= example_bytes).groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.md5("text"), "text")).alias("one")).select("doc_id", "label", "one.text")
+    so_far = F.sum(F.octet_length("text")).over(W.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    examples = found.withColumn("so_far", so_far).where(F.col("so_far") <= example_bytes).select("doc_id", "label", "text").orderBy("doc_id").toArrow()
+    keys, y = examples.column("doc_id").to_numpy(), examples.column("label").to_numpy()
+    rows, h, tf = distinct_terms(Texts(examples.column("text")))
+    frequency = dict(docs.select("text").mapInArrow(_count(np.unique(h)), "term long, n long").groupBy("term").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False, name=None))
+    return build(keys, y, rows, h, tf, frequency, frequency.pop(0, 0), base)
 
 
 def toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score, neighbours, cosines, one row for each row of docs (doc_id, text, ...).
 
     neighbours are the doc_ids of the nearest labelled examples, nearest first, and cosines their
-    similarities. Texts without a known term (null and empty ones too) have no neighbours and the
-    score of a text that resembles no example. Other columns are not read.
+    similarities; a document's own example is not among them. Texts without a known term (null and
+    empty ones too) have no neighbours and the score of a text that resembles no example. Rows that
+    repeat a doc_id are scored each by its text. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(index)
@@ -265,7 +300,7 @@ def toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, index: Index, below: float, k: int = NEIGHBOURS) -> DataFrame:
-    """The rows of docs (with a text column) that score below the limit, all columns as they are."""
+    """The rows of docs (doc_id, text, ...) that score below the limit, all columns as they are."""
     held = docs.sparkSession.sparkContext.broadcast(index)
     return docs.mapInArrow(_judge(held, k, below), docs.schema)
 

@@ -145,32 +145,50 @@ def test_repeated_chunks_of_any_passage_of_50_words_hold_20():
             assert sum(len(bytes(t.raw[a:b]).split()) for a, b in zip(starts[again], stops[again], strict=True)) >= 20
 
 
-def test_block_max_search_is_exact():
+def examples(rng, n, vocabulary):
+    """Ten subjects with words of their own, and some words of any."""
+    rows, h, tf = [], [], []
+    for i in range(n):
+        own = vocabulary[i % 10 :: 10]
+        t = np.unique(np.append(rng.choice(own, rng.integers(1, 12), replace=False), rng.choice(vocabulary, 2)))
+        rows.append(np.full(len(t), i))
+        h.append(t)
+        tf.append(rng.integers(1, 4, len(t)))
+    return np.concatenate(rows), np.concatenate(h).astype(np.uint64), np.concatenate(tf)
+
+
+def test_block_max_search_is_exact_and_reads_less():
     rng = np.random.default_rng(5)
-    vocabulary = rng.integers(1, 2**62, 120)
-    rows = []
-    for i in range(500):
-        t = rng.choice(vocabulary, rng.integers(1, 12), replace=False)
-        rows.append((i, int(i % 3 == 0), t.tolist(), rng.integers(1, 4, len(t)).tolist()))
+    vocabulary = rng.integers(1, 2**62, 900)
+    rows, h, tf = examples(rng, 1500, vocabulary)
     frequency = {int(v): int(rng.integers(1, 400)) for v in vocabulary}
-    index = toxicity.build(rows, frequency, 1000, 0.3)
-    dense = np.zeros((500, 120))
-    for i, (_, _, h, tf) in enumerate(rows):
-        t, w = index.vector(np.array(h, np.int64).view(np.uint64), np.array(tf, float))
+    index = toxicity.build(np.arange(1500), np.arange(1500) % 3 == 0, rows, h, tf, frequency, 1000, 0.3)
+    dense = np.zeros((1500, len(index.terms)))
+    for i in range(1500):
+        t, w = index.vector(h[rows == i], tf[rows == i])
         dense[i, t] = w
-    for i in range(0, 500, 25):
+    read = [0, 0]
+    for i in range(0, 1500, 25):
         t = np.flatnonzero(dense[i])
-        ids, cos = index.nearest(t, dense[i, t], 15)
-        full = dense @ dense[i]
-        want = np.lexsort((np.arange(500), -np.round(full, 12)))[:15]
-        assert np.allclose(np.sort(cos), np.sort(full[want]))
-        assert set(ids[cos > cos[-1] + 1e-9]) <= set(want)
+        for without in (-1, int(np.flatnonzero(index.keys == i)[0])):
+            ids, cos = index.nearest(t, dense[i, t], 15, without, read)
+            full = np.round(dense @ dense[i], 12)
+            if without >= 0:
+                full[i] = -1
+            want = np.lexsort((np.arange(1500), -full))[:15]
+            want = want[full[want] > 0]
+            assert np.allclose(cos, full[want], atol=1e-11)
+            sure = full[want] > full[want[-1]] + 1e-9
+            assert set(index.keys[ids].tolist()) >= set(want[sure].tolist())
+    assert read[0] < 0.7 * read[1]
 
 
 def test_a_query_without_known_terms_has_no_neighbours():
-    index = toxicity.build([], {}, 0, 0.1)
+    none = np.zeros(0, np.int64)
+    index = toxicity.build(none, none, none, none.astype(np.uint64), none, {}, 0, 0.1)
     ids, cos = index.nearest(np.zeros(0, np.int64), np.zeros(0), 5)
     assert not len(ids) and 0 <= toxicity.score(index, ids, cos) <= 1
+    assert not len(index.vector(np.array([5], np.uint64), np.array([1]))[0])
 
 
 def test_ftrl_learns_and_stays_sparse():
