@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,35 @@ def test_neighbours(spark):
     assert few.count() == 4 and neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_with_lists_left_out(spark):
+    """End to end against brute force, on clustered vectors of which few lists are probed, and on random ones."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 32))
+    clustered = centres[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 32))
+    for x, most in ((clustered, 0.35), (rng.normal(size=(6000, 32)), 0.95)):
+        known = neighbours.fit(x, np.arange(6000), 6000, 20)
+        assert len(known.centroids) > 50 and known.probes <= most * len(known.centroids)
+        df = spark.createDataFrame(list(zip(range(6000), x.tolist(), ["c"] * 6000, range(6000), strict=True)), "vec_id long, embedding array<double>, floor string, home int")
+        got = {}
+        for r in neighbours.nearest(df, block=50).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        hits = 0
+        for q in range(0, 6000, 20):
+            product = x @ x[q]
+            product[q] = -np.inf
+            found = [v for _, v, _ in sorted(got[q])]
+            assert len(found) == 20 and np.allclose([s for _, _, s in sorted(got[q])], product[found])
+            hits += len(set(found) & set(np.argsort(-product)[:20].tolist()))
+        assert hits >= 0.9 * 300 * 20
+
+
+def test_neighbours_of_several_widths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 2.0, 2.0]), (1, [0.5, 0.5]), (2, [2.0, 0.0]), (2, [0.0, 3.0]), (0, [9.0, 0.0]), (3, [1.0, 1.0, 1.0]), (4, []), (5, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df).collect())
+    assert got == [(0, 1, 2, 2.0), (0, 2, 1, 0.5), (20, 1, 3, 5.0)]
+
+
 def test_main_text(spark):
     pages = spark.createDataFrame([(1, None, "<p>Hello, world.</p>"), (2, "u", None), (2, "u", "")], "page_id long, url string, html string")
     assert [(r.page_id, r.text, r.n_chars) for r in html.extract(pages).collect()] == [(1, "Hello, world.", 13), (2, "", 0), (2, "", 0)]

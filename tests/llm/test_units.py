@@ -205,25 +205,31 @@ def test_ftrl_learns_and_stays_sparse():
     assert (w == 0).mean() > 0.3
 
 
-def test_adaptive_scan_keeps_the_nearest():
+def test_adaptive_scan_keeps_the_nearest_and_reads_less():
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(2000, 64))
+    x = rng.normal(size=(6000, 64))
     x[5:40] = x[4]  # ties
-    ids = np.arange(2000)
-    turn = neighbours.rotation(64)
-    xr = x @ turn
-    rest = neighbours._remaining(xr)
+    ids, asking, read = np.arange(6000), np.arange(0, 200, 10), [0, 0]
+    product = x[asking] @ x.T
+    product[np.arange(20), asking] = -np.inf
+    floor = np.sort(product[:, :1500], axis=1)[:, -20]  # as a sample says
+    q, found, score = neighbours.scan(x, ids, x[asking], asking, floor, 20, neighbours.rotation(64), read)
     hits = 0
-    for q in range(0, 200, 10):
-        qr = x[q] @ turn
-        found, score = neighbours.scan(x, ids, x[q], 20, q, (xr, rest, qr, neighbours._remaining(qr[None])[0]))
-        full = x @ x[q]
-        full[q] = -np.inf
-        want = np.lexsort((ids, -np.round(full, 9)))[:20]
-        hits += len(set(found) & set(want))
-        assert np.allclose(score, full[found])
-        assert (np.diff(score) <= 1e-12).all()
-    assert hits >= 0.98 * 400
+    for n, i in enumerate(asking):
+        want = np.lexsort((ids, -np.round(product[n], 9)))[:20]
+        hits += len(set(found[q == i].tolist()) & set(want.tolist()))
+        assert np.allclose(score[q == i], product[n][found[q == i]]) and (np.diff(score[q == i]) <= 0).all()
+    assert hits >= 0.96 * 400
+    assert read[0] <= 0.65 * read[1]
+
+
+def test_scan_without_floor_or_with_few_candidates():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 5))
+    none = np.full(30, -np.inf)
+    q, found, score = neighbours.scan(x, np.arange(30), x, np.arange(30), none, 50, neighbours.rotation(5))
+    assert len(q) == 30 * 29 and not (q == found).any() and np.allclose(score, (x[q] * x[found]).sum(1))
+    assert all(len(a) == 0 for a in neighbours.scan(x[:0], np.arange(0), x, np.arange(30), none, 5, neighbours.rotation(5)))
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>if (a < b) document.write("<p>no</p>")</script></head><body>
