@@ -9,26 +9,31 @@ and the state (or a suffix of it) is the window's.
 Only stretches in which every pair of neighbouring words is a pair of neighbours in some item are
 streamed: no window of two words or more reaches across another pair, so nothing is lost.
 
-A benchmark of more than MOST_WORDS words is taken in blocks of whole items, one automaton and one
-pass each, so the broadcast is bounded; windows never cross items, so blocks add up exactly.
+The benchmark is cut into pieces of PIECE words that overlap by a window less one word, so that
+every window lies whole in one, and the pieces are dealt to blocks of about BLOCK_WORDS words. Each
+block's automaton is built in a task and kept as arrays in the shared folder; the driver and the
+Python workers hold one block at a time. With one block documents are read once, without a shuffle;
+with several, each pass returns only the digests of the texts it hit, with what it hit, and these
+are joined to the documents at the end.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.tables import written
+from tessera.llm.tables import drop, free, written
 from tessera.llm.textvec import ALNUM, U64, Texts, mix, slices
 
 WINDOW = 10
-#: words of benchmark items in one automaton
-MOST_WORDS = 1_000_000
+#: words of benchmark items in a piece and, on average, in one automaton (about 60 MB in a worker)
+PIECE, BLOCK_WORDS = 10_000, 100_000
 
 
 class Automaton:
@@ -77,60 +82,74 @@ class Automaton:
         return new
 
 
-@dataclass
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(0xD6E8FEB86659FD93) + b)
+
+
 class Benchmark:
-    """An automaton with what its states mean. Words are their hashes."""
+    """An automaton with what its states mean, as arrays. Words are their hashes.
+
+    edge_from, edge_word, edge_to: transitions; link and length of states; state owner_state[i] ends
+    a window of owner_n[i] words of item owner_item[i]; out: the first state on the way from a state
+    along links, itself included, that ends a window, or 0; pairs: sorted hashes of neighbouring
+    words; singles: of windows of one word; shortest: words of the shortest window.
+    """
+
+    ARRAYS = ("edge_from", "edge_word", "edge_to", "link", "length", "owner_state", "owner_n", "owner_item", "out", "pairs", "singles", "shortest")
 
-    automaton: Automaton
-    #: state -> (length, item positions) of the windows that end where the state does
-    windows: dict[int, list[tuple[int, tuple[int, ...]]]]
-    pairs: np.ndarray  # sorted hashes of neighbouring words
-    singles: np.ndarray  # sorted hashes of the windows of one word
-    shortest: int
-    item_ids: list[str]
+    def __init__(self, arrays: dict[str, np.ndarray], item_ids: list[str]):
+        self.__dict__.update(arrays)
+        self.item_ids = item_ids
+        self.maps: tuple | None = None
 
-    def matches(self, words: list[int]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    def __getstate__(self) -> dict:
+        return {**{k: getattr(self, k) for k in self.ARRAYS}, "item_ids": self.item_ids, "maps": None}
+
+    def to_bytes(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, item_ids=np.array(self.item_ids, dtype=str), **{k: getattr(self, k) for k in self.ARRAYS})
+        return held.getvalue()
+
+    @staticmethod
+    def from_bytes(data: bytes) -> Benchmark:
+        held = np.load(io.BytesIO(data), allow_pickle=False)
+        return Benchmark({k: held[k] for k in Benchmark.ARRAYS}, held["item_ids"].tolist())
+
+    def matches(self, words: list[int]) -> Iterator[tuple[int, int, list[int]]]:
         """(first word, end, item positions) of every window that occurs."""
-        step, link, length = self.automaton.next, self.automaton.link, self.automaton.length
+        if self.maps is None:  # once a worker
+            step = dict(zip(zip(self.edge_from.tolist(), self.edge_word.tolist(), strict=True), self.edge_to.tolist(), strict=True))
+            ends: dict[int, dict[int, list[int]]] = {}
+            for s, n, item in zip(self.owner_state.tolist(), self.owner_n.tolist(), self.owner_item.tolist(), strict=True):
+                ends.setdefault(s, {}).setdefault(n, []).extend([item] if item >= 0 else [])
+            self.maps = step, ends, self.link.tolist(), self.length.tolist(), self.out.tolist()
+        step, ends, link, length, out = self.maps
         state = size = 0
         for end, w in enumerate(words, 1):
-            while state and w not in step[state]:
+            while state and (state, w) not in step:
                 state = link[state]
                 size = length[state]
-            if w in step[state]:
-                state = step[state][w]
+            if (state, w) in step:
+                state = step[state, w]
                 size += 1
-            s = state
-            while s > 0:
-                for n, items in self.windows.get(s, ()):
+            s = out[state]
+            while s:
+                for n, items in ends[s].items():
                     if n <= size:
                         yield end - n, end, items
-                s = link[s]
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * U64(0xD6E8FEB86659FD93) + b)
+                s = out[link[s]]
 
 
-def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Benchmark:
-    """items: id as text and text. Texts without words have no windows."""
-    texts = Texts(pa.array([t for _, t in items], pa.string()))
-    starts, stops, rows = texts.tokens(ALNUM)
-    h = texts.hashes(starts, stops)
-    cuts = np.searchsorted(rows, np.arange(len(items) + 1))
+def build(items: list[tuple[str | None, list[int]]], window: int = WINDOW) -> Benchmark:
+    """items: id as text and word hashes of items, or of pieces of items that overlap by a window less one."""
     a = Automaton()
     ids = sorted({i for i, _ in items if i is not None})
-    place = {i: k for k, i in enumerate(ids)}
-    sequences = [h[b:e].tolist() for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    for words in sequences:
+    place: dict[str | None, int] = {i: k for k, i in enumerate(ids)} | {None: -1}
+    for _, words in items:
         a.add(words)
-    owners: dict[tuple[int, int], set[int]] = {}
-    shortest = window
-    for (item, _), words in zip(items, sequences, strict=True):
+    owners: set[tuple[int, int, int]] = set()
+    for item, words in items:
         n = min(window, len(words))
-        if not n:
-            continue
-        shortest = min(shortest, n)
         state = size = 0
         for end, w in enumerate(words, 1):
             state, size = a.next[state][w], size + 1
@@ -138,13 +157,21 @@ def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> B
                 s = state
                 while a.length[a.link[s]] >= n:
                     s = a.link[s]
-                owners.setdefault((s, n), set()).update([place[item]] if item is not None else [])
-    windows: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-    for (s, n), found in sorted(owners.items()):
-        windows.setdefault(s, []).append((n, tuple(sorted(found))))
-    same = rows[1:] == rows[:-1]
-    singles = np.unique(np.array([x for w in sequences if min(window, len(w)) == 1 for x in w], dtype=np.uint64))
-    return Benchmark(a, windows, np.unique(_pair(h[:-1][same], h[1:][same])), singles, shortest, ids)
+                owners.add((s, n, place[item]))
+    own = np.array(sorted(owners), dtype=np.int32).reshape(-1, 3)
+    ending = set(own[:, 0].tolist())
+    out = np.zeros(len(a.link), np.int32)
+    for s in sorted(range(1, len(a.link)), key=a.length.__getitem__):  # links lead to shorter states
+        out[s] = s if s in ending else out[a.link[s]]
+    edges = [(s, w, to) for s, step in enumerate(a.next) for w, to in step.items()]
+    pairs = [_pair(np.array(w[:-1], np.uint64), np.array(w[1:], np.uint64)) for _, w in items if len(w) > 1]
+    arrays = {
+        "edge_from": np.array([e[0] for e in edges], np.int32), "edge_word": np.array([e[1] for e in edges], np.uint64), "edge_to": np.array([e[2] for e in edges], np.int32),
+        "link": np.array(a.link, np.int32), "length": np.array(a.length, np.int32), "owner_state": own[:, 0], "owner_n": own[:, 1], "owner_item": own[:, 2], "out": out,
+        "pairs": np.unique(np.concatenate([*pairs, np.zeros(0, np.uint64)])), "singles": np.unique(np.array([x for _, w in items if min(window, len(w)) == 1 for x in w], np.uint64)),
+        "shortest": np.array([min([window, *(len(w) for _, w in items if w)])]),
+    }
+    return Benchmark(arrays, ids)
 
 
 def _known(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -161,46 +188,17 @@ def _stretches(bench: Benchmark, h: np.ndarray, rows: np.ndarray) -> list[tuple[
     joined[1:-1] = (rows[1:] == rows[:-1]) & _known(bench.pairs, _pair(h[:-1], h[1:]))
     first = np.flatnonzero(~joined[:-1])
     end = np.flatnonzero(~joined[1:]) + 1
-    least = max(2, bench.shortest) if not len(bench.singles) else 1
+    least = max(2, int(bench.shortest[0])) if not len(bench.singles) else 1
     wanted = end - first >= least
     if least == 1:
         wanted &= (end - first > 1) | _known(bench.singles, h[first])
     return list(zip(first[wanted].tolist(), end[wanted].tolist(), strict=True))
 
 
-def _scan(held: object, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The columns named in keep, then what MARKS lists, joined with marks of earlier blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench: Benchmark = held.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = Texts(part.column("text"))
-                starts, stops, rows = texts.tokens(ALNUM)
-                h = texts.hashes(starts, stops)
-                begin = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                spans: dict[int, list[list[int]]] = {}
-                items: dict[int, set[str]] = {}
-                if "_spans" in part.schema.names:
-                    spans = {i: x for i, x in enumerate(part.column("_spans").to_pylist()) if x}
-                    items = {i: set(x) for i, x in enumerate(part.column("_items").to_pylist()) if x}
-                for first, end in _stretches(bench, h, rows):
-                    row = int(rows[first])
-                    shift = first - int(begin[row])
-                    for b, e, found in bench.matches(h[first:end].tolist()):
-                        items.setdefault(row, set()).update(bench.item_ids[i] for i in found)
-                        spans.setdefault(row, []).append([b + shift, e + shift])
-                out_spans, out_bytes = [], []
-                for row in range(part.num_rows):
-                    merged = _merge(spans.get(row, []))
-                    out_spans.append(merged)
-                    at, base = int(begin[row]), int(texts.starts[row])
-                    out_bytes.append([[int(starts[at + b]) - base, int(stops[at + e - 1]) - base] for b, e in merged])
-                pair = pa.list_(pa.list_(pa.int64()))
-                marks = [pa.array(np.diff(begin).astype(np.int64)), pa.array(out_spans, pair), pa.array(out_bytes, pair), pa.array([sorted(items.get(row, ())) for row in range(part.num_rows)], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *marks], names=[*keep, *MARKS])
-
-    return run
+def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, and where each row's begin."""
+    starts, stops, rows = texts.tokens(ALNUM)
+    return starts, stops, texts.hashes(starts, stops), np.searchsorted(rows, np.arange(texts.n + 1))
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:
@@ -214,67 +212,159 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> list[Benchmark]:
-    """Automata of the items (item_id, text), in blocks of at most most_words words (one item at least)."""
-    out, held, words = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        n = len((r.t or "").split()) * 2 + 1
-        if held and words + n > most_words:
-            out.append(build(held, window))
-            held, words = [], 0
-        held.append((r.i, r.t))
-        words += n
-    return [*out, build(held, window)]
+Hits = dict[int, tuple[list[list[int]], set[str]]]
 
 
-#: number of words; word positions [first, end) hit, disjoint and sorted; the same in bytes; ids of
-#: the items with a window that occurs, as text and sorted
-MARKS = {"_n_words": "bigint", "_spans": "array<array<bigint>>", "_bytes": "array<array<bigint>>", "_items": "array<string>"}
+def _hits(bench: Benchmark, h: np.ndarray, begin: np.ndarray) -> Hits:
+    """row -> (disjoint spans of words, ids of items), of the rows that a window hits."""
+    found: dict[int, tuple[list[list[int]], set[str]]] = {}
+    rows = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    for first, end in _stretches(bench, h, rows):
+        row = int(rows[first])
+        shift = first - int(begin[row])
+        for b, e, items in bench.matches(h[first:end].tolist()):
+            spans, ids = found.setdefault(row, ([], set()))
+            spans.append([b + shift, e + shift])
+            ids.update(bench.item_ids[i] for i in items)
+    return {row: (_merge(spans), ids) for row, (spans, ids) in found.items()}
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS, drop_text: bool = False) -> DataFrame:
-    """docs (with a text column) and the columns MARKS, row by row.
+def _scan(held: object, emit: Callable[..., pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What emit makes of each run of rows, its words and its hits."""
 
-    Null texts have no words. Items of a null id count as hits but are not listed; items without
-    words have no windows; rows that repeat an item change nothing.
-    """
-    benches = blocks(benchmark, window, most_words)
-    out = docs.withColumn("text", F.col("text").cast("string"))
-    for k, bench in enumerate(benches):
-        last = k == len(benches) - 1
-        keep = tuple(c for c in docs.columns if not (last and drop_text and c == "text"))
-        schema = ", ".join([*(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in MARKS.items())])
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(bench), keep), schema)
-        out = out if last else written(out, "marked")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = Texts(part.column("text"))
+                starts, stops, h, begin = _words(texts)
+                yield emit(part, texts, starts, stops, begin, _hits(held.value, h, begin))
+
+    return run
+
+
+def _join(names: list[str], emit: Callable[..., pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same of rows that carry the hits of several passes in the columns names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = Texts(part.column("text"))
+                starts, stops, _, begin = _words(texts)
+                spans, items = (part.column(c).to_pylist() for c in names)
+                hits = {i: (_merge([list(x) for y in s for x in y]), {x for y in items[i] for x in y}) for i, s in enumerate(spans) if s}
+                yield emit(part.drop_columns(names), texts, starts, stops, begin, hits)
+
+    return run
+
+
+def _pieces(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(item, text) -> (item, words) of each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, _, h, begin = _words(Texts(part.column("text")))
+                items, words = [], []
+                for item, b, e in zip(part.column("item").to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    for at in range(b, max(e - window + 1, b + (e > b)), PIECE):
+                        items.append(item)
+                        words.append(h[at : min(e, at + PIECE + window - 1)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(words, pa.list_(pa.int64()))], names=["item", "words"])
+
+    return run
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """block, model: the automata of a benchmark (item_id, text), built in tasks, written."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    pieces = written(items.mapInArrow(_pieces(window), "item string, words array<long>").distinct(), "pieces")
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+
+    def made(table: pa.Table) -> pa.Table:
+        words = [np.asarray(x, np.int64).view(np.uint64).tolist() for x in table.column("words").to_pylist()]
+        rows = sorted(zip(table.column("item").to_pylist(), words, strict=True), key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        return pa.table({"block": table.column("block").slice(0, 1), "model": pa.array([build(rows, window).to_bytes()], pa.binary())})
+
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(max(1, -(-total // block_words)))).cast("int")
+    out = written(pieces.withColumn("block", block).groupBy("block").applyInArrow(made, "block int, model binary"), "automata")
+    drop(pieces)
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row for each row of docs."""
-    found = marked(docs.select("doc_id", "text"), benchmark, window, most_words, drop_text=True)
-    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
-    return found.select(
-        "doc_id",
-        F.col("_n_words").alias("n_words"),
-        hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"),
-    )
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, emit: Callable[..., pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """What emit makes of all rows of docs (with a text column) and their hits."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    models = automata(benchmark, window, block_words)
+    blocks = sorted(r.block for r in models.select("block").collect())
+    load = lambda b: Benchmark.from_bytes(models.where(F.col("block") == b).first().model) if b is not None else build([], window)
+    share = docs.sparkSession.sparkContext.broadcast
+    if len(blocks) < 2:
+        held = share(load(blocks[0] if blocks else None))
+        drop(models)
+        return docs.mapInArrow(_scan(held, emit), schema)
+    names = free(docs, "text_digest", "hit_spans", "hit_items")
+
+    def found(part: pa.RecordBatch, texts: Texts, starts: np.ndarray, stops: np.ndarray, begin: np.ndarray, hits: Hits) -> pa.RecordBatch:
+        rows = sorted(hits)
+        pair = pa.list_(pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(rows, pa.int64())), pa.array([hits[i][0] for i in rows], pair), pa.array([sorted(hits[i][1]) for i in rows], pa.list_(pa.string()))], names=["digest", "spans", "items"])
+
+    digest = F.unhex(F.md5("text"))
+    all_hits, tables = None, []
+    for b in blocks:
+        held = share(load(b))
+        hits = written(docs.select("text", digest.alias("digest")).mapInArrow(_scan(held, found), "digest binary, spans array<array<long>>, items array<string>").distinct(), "hits")
+        held.destroy()
+        tables.append(hits)
+        all_hits = hits if all_hits is None else all_hits.unionByName(hits)
+    drop(models)
+    merged = all_hits.groupBy("digest").agg(F.collect_list("spans").alias(names[1]), F.collect_list("items").alias(names[2])).withColumnRenamed("digest", names[0])
+    both = docs.withColumn(names[0], digest).join(merged, names[0], "left").drop(names[0])
+    return both.mapInArrow(_join(names[1:], emit), schema)
+
+
+def _counts(part: pa.RecordBatch, texts: Texts, starts: np.ndarray, stops: np.ndarray, begin: np.ndarray, hits: Hits) -> pa.RecordBatch:
+    n = part.num_rows
+    n_hit = [sum(e - b for b, e in hits[i][0]) if i in hits else 0 for i in range(n)]
+    items = pa.array([sorted(hits[i][1]) if i in hits else [] for i in range(n)], pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(begin).astype(np.int64)), pa.array(n_hit, pa.int64()), items], names=["doc_id", "n_words", "n_hit", "items"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row for each row of docs.
+
+    docs: doc_id, text; benchmark: item_id, text. Null texts have no words. Items of a null id count
+    as hits but are not listed; items without words have no windows; rows that repeat an item
+    change nothing. Other columns are not read.
+    """
+    docs = docs.select("doc_id", "text")
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit")), T.StructField("items", T.ArrayType(T.StringType()))])
+    found = _marked(docs, benchmark, window, block_words, _counts, schema)
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the spans that windows cover; the columns of docs, n_chars brought up to date.
 
     A row goes where more than max_coverage of its words are hit, or nothing but white space is
-    left; rows without a hit stay as they are.
+    left; rows without a hit stay as they are. Columns may have any names.
     """
-    found = marked(docs, benchmark, window, most_words)
-    share = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0]) / F.greatest("_n_words", F.lit(1))
-    # what stands before, between and after the spans, by bytes
-    bounds = F.expr("concat(array(0L), flatten(_bytes), array(cast(octet_length(text) AS bigint)))")
-    cut = F.expr("array_join(transform(sequence(0, size(_bytes)), i -> decode(substring(encode(text, 'utf-8'), CAST(_b[2 * i] + 1 AS int), CAST(_b[2 * i + 1] - _b[2 * i] AS int)), 'utf-8')), '')")
-    found = found.withColumn("_b", bounds).withColumn("_left", F.when(F.size("_spans") == 0, F.col("text")).otherwise(cut))
-    kept = found.where((F.size("_spans") == 0) | ((share <= max_coverage) & F.col("_left").rlike(r"[^\x20\x09-\x0D]")))
-    n_chars = F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("_left")) if "n_chars" in docs.columns else None
-    return kept.select(*[F.col("_left").alias(c) if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+    def clean(part: pa.RecordBatch, texts: Texts, starts: np.ndarray, stops: np.ndarray, begin: np.ndarray, hits: Hits) -> pa.RecordBatch:
+        left: dict[int, str] = {}
+        gone = np.zeros(part.num_rows, bool)
+        for i, (spans, _) in hits.items():
+            at, end = int(texts.starts[i]), int(texts.ends[i])
+            cuts = [at, *(int(x) for b, e in spans for x in (starts[begin[i] + b], stops[begin[i] + e - 1])), end]
+            left[i] = b"".join(texts.raw[x:y].tobytes() for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
+            gone[i] = sum(e - b for b, e in spans) > max_coverage * (begin[i + 1] - begin[i]) or not left[i].strip(" \t\n\v\f\r")
+        columns = {c: part.column(c) for c in part.schema.names}
+        if left:
+            text = part.column("text").to_pylist()
+            columns["text"] = pa.array([left.get(i, t) for i, t in enumerate(text)], part.schema.field("text").type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(left[i]) if i in left else n for i, n in enumerate(columns["n_chars"].to_pylist())]).cast(part.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(~gone))
+
+    return _marked(docs, benchmark, window, block_words, clean, docs.withColumn("text", F.col("text").cast("string")).schema)

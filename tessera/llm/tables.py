@@ -42,3 +42,15 @@ def drop(*tables: DataFrame) -> None:
             jvm = t.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores in front that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name)
+    return out

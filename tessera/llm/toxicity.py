@@ -35,7 +35,7 @@ EXAMPLE_BYTES = 32 << 20
 #: share of its weight that a term keeps which tells nothing, and the chi-square at half of the rest
 FLOOR, DOUBT = 0.02, 25.0
 NEIGHBOURS = 15
-BLOCK = 16
+BLOCK = 32
 
 
 def distinct_terms(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

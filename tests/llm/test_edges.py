@@ -152,7 +152,7 @@ def test_decontamination(spark, docs, none):
     assert (rows[10].n_hit, rows[10].n_items, rows[10].items_sha256) == (30, 1, hashlib.sha256(b"1").hexdigest())
     assert (rows[7].n_hit, rows[8].n_items) == (2, 1) and (rows[12].n_hit, rows[12].n_items) == (1, 0)
     assert rows[4].n_words == 0 and not rows[9].contaminated and rows[9].items_sha256 == hashlib.sha256(b"").hexdigest()
-    small = {r.doc_id: tuple(r) for r in decontamination.contamination(docs, bench, most_words=1).collect()}
+    small = {r.doc_id: tuple(r) for r in decontamination.contamination(docs, bench, block_words=7).collect()}
     assert small == {i: tuple(r) for i, r in rows.items()}
     left = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench).collect()}
     assert 7 not in left and left[9] == LONG and left[10].startswith(prose(80, 4)) and len(left[10].split()) == 120
@@ -160,6 +160,21 @@ def test_decontamination(spark, docs, none):
     assert decontamination.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_in_several_full_blocks(spark, docs, monkeypatch):
+    """Long items in overlapping pieces over several blocks give what one block gives, texts included."""
+    items = [(1, LONG), (2, prose(900, 61)), (3, " ".join(PASSAGE.split(" ")[5:40])), (None, prose(50, 62)), (5, "idiot"), (5, "idiot")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = docs.unionByName(spark.createDataFrame([(50 + k, prose(40, 70 + k) + " " + " ".join(LONG.split(" ")[k * 97 : k * 97 + 9 + k % 3]) + " .", "en", "s", 9, 0.0, "h", 1, 2, "k", "a", "c") for k in range(60)], SCHEMA))
+    clashing = more.selectExpr("*", "1 AS _spans", "2 AS _items", "3 AS _left", "4 AS _b", "5 AS text_digest", "6 AS hit_spans", "7 AS hit_items")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    counts, clean = rows(decontamination.contamination(more, bench)), rows(decontamination.decontaminate(clashing, bench))
+    assert sum(r[5] for r in counts) > 40 and len(clean) < len(counts)
+    monkeypatch.setattr(decontamination, "PIECE", 200)
+    assert decontamination.automata(bench, block_words=1500).count() > 3
+    assert rows(decontamination.contamination(more, bench, block_words=1500)) == counts
+    assert rows(decontamination.decontaminate(clashing, bench, block_words=1500)) == clean
+
+
 def test_toxicity(spark, none):
     rows = [(i, prose(60, 100 + i) + (" you idiot moron " if i % 4 == 0 else " fine day "), i % 4 == 0) for i in range(200)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "!!")], "doc_id long, text string")
