@@ -9,7 +9,8 @@ In a list the columns are read in blocks of STEP. A candidate whose product reac
 k-th best so far, has bar * read / width of it in the columns read, give or take a known standard
 deviation; one that falls EPSILON of these below is left out of the next block, as is one that even
 the lengths of what is left can't lift to the bar. The bar starts at the query's k-th best in a
-part of the sample, which are results themselves, and rises after every block of candidates. What is left is scored in double precision on
+part of the sample, which are results themselves, rises after every block of candidates, and takes
+in what the most promising lists hold before the others are searched. What is left is scored in double precision on
 the original vectors, column after column.
 
 Lists are cut into blocks of candidates and blocks of queries by a hash of the id, so that a list
@@ -34,6 +35,8 @@ from tessera.llm.tables import written
 SAMPLE, ASKING = 16384, 512
 #: vectors of the sample that set the first bar of every query
 FIRST = 2048
+#: one list in so many of the probed ones is searched first
+FIRST_LISTS = 6
 #: vectors of the sample for each list, at least
 LEAST = 64
 #: share of the neighbours inside the sample that the probed lists must hold
@@ -253,7 +256,7 @@ def _search(held: object, width: int, k: int) -> Callable[[pa.Table, pa.Table],
 
 
 def _nearest_of_width(vectors: DataFrame, width: int, rows: int, queries: str, k: int, lists: int | None, probes: int | None, block: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query in each block of candidates it meets."""
+    """query_id, vec_id, score: the best of each query, k at least where there are as many."""
     spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType
     arrow = pa.float32() if kind.elementType == T.FloatType() else pa.float64()
     # rows whose hash falls below a share, so that the driver sees about SAMPLE of them at any size
@@ -263,8 +266,32 @@ def _nearest_of_width(vectors: DataFrame, width: int, rows: int, queries: str, k
     held = spark.sparkContext.broadcast(fit(x[good], got.column("vec_id").to_numpy()[good], rows, k, lists, probes))
     placed = written(vectors.mapInArrow(_place(held, width, arrow), T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("v", kind), T.StructField("home", T.IntegerType())])), "placed")
     ask = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("v", kind), T.StructField("floor", T.DoubleType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("near", T.ArrayType(T.LongType())), T.StructField("products", T.ArrayType(T.DoubleType()))])
-    written_asks = written(placed.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_ask(held, width, k), ask), "asked")
-    asked = written_asks.select("vec_id", "v", "floor", F.explode("probes").alias("home"))
+    asks = written(placed.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_ask(held, width, k), ask), "asked")
+    near = asks.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("near", "products")).alias("x")).select("query_id", F.col("x.near").alias("vec_id"), F.col("x.products").alias("score"))
+    # the most promising lists first: what they hold raises the bar for the others
+    most = held.value.probes
+    n = -(-most // FIRST_LISTS)
+    first = asks.select("vec_id", "v", "floor", F.explode(F.slice("probes", 1, n)).alias("home"))
+    best = _ranked(near.unionByName(_meet(placed, first, held, width, k, block)), k).drop("rank")
+    if n == most:
+        return best
+    best = written(best, "best")
+    bars = best.groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "bar")
+    rest = asks.select("vec_id", "v", "floor", F.slice("probes", n + 1, most).alias("homes")).join(bars.hint("merge"), "vec_id", "left")
+    rest = rest.select("vec_id", "v", F.greatest("floor", "bar").alias("floor"), F.explode("homes").alias("home"))
+    return best.unionByName(_meet(placed, rest, held, width, k, block))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of each query, each vec_id once."""
+    # one exchange by query serves both the grouping and the ranks
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(placed: DataFrame, asked: DataFrame, held: object, width: int, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: what each query (vec_id, v, floor, home) finds in its list that reaches its floor."""
     blocks = placed.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("cb"))
     rounds = asked.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("qb"))
     plan = F.broadcast(blocks.join(F.broadcast(rounds), "home"))  # one row a list, SAMPLE / LEAST at most
@@ -273,10 +300,7 @@ def _nearest_of_width(vectors: DataFrame, width: int, rows: int, queries: str, k
     asks = asked.join(plan, "home").withColumn("qs", salt("qb")).withColumn("cs", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)))
     key = ["home", "cs", "qs"]
     pick = lambda d, *more: d.select(*key, "vec_id", "v", *more).groupBy(*key)
-    found = pick(cands).cogroup(pick(asks, "floor")).applyInArrow(_search(held, width, k), "query_id long, vec_id long, score double")
-    # the lists return what reaches the sample's k best, and these stand for the rest
-    sampled = written_asks.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("near", "products")).alias("x")).select("query_id", F.col("x.near").alias("vec_id"), F.col("x.products").alias("score"))
-    return found.unionByName(sampled)
+    return pick(cands).cogroup(pick(asks, "floor")).applyInArrow(_search(held, width, k), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, lists: int | None = None, probes: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -299,7 +323,4 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, l
         found = here if found is None else found.unionByName(here)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    # one exchange by query serves both the grouping and the ranks
-    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(found, k)
