@@ -31,6 +31,10 @@ RULES = [
     ("SWC-131", r"(?:uint|int|bool|address|string)\s+(\w+)\s*;", "Low", "Presence of unused variables"),
 ]
 
+#: category of each rule, and of any other
+RULE_CATEGORIES = {"SWC-101": "A9", "SWC-105": "A5", "SWC-107": "A9", "SWC-112": "A9", "SWC-115": "A5", "SWC-120": "A9", "SWC-131": "A10"}
+NO_CATEGORY = "Unknown"
+
 #: names of the analyser log's findings that are in scope
 LOG_FINDINGS = ["Callstack Depth Attack Vulnerability", "Transaction-Ordering Dependency", "Timestamp Dependency", "Re-Entrancy Vulnerability", "Integer Overflow", "Integer Underflow", "Parity Multisig Bug 2"]
 

@@ -117,3 +117,10 @@ def zscore(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     joined = df.join(stats, keys)
     return joined.select(*[c for c in df.columns if c not in columns], *[F.when(F.col("_n") > 1, (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-6)).otherwise(F.col(c)).alias(c) for c in columns])
+
+
+def detections(logits: Column, threshold: float) -> tuple[Column, Column, Column]:
+    """(detected, class, confidence) of a node: its most probable class (the first of equals), if above the threshold."""
+    top = F.array_max(logits)
+    confidence = 1 / (1 + F.exp(-top))
+    return confidence > threshold, F.array_position(logits, top) - 1, confidence

@@ -21,6 +21,52 @@ def scan(rows: DataFrame, rules: list[tuple[str, str]], line: str = "line") -> D
     return rows.withColumn("rule_id", F.explode(hits))
 
 
+def category(rule: Column, categories: dict[str, str], other: str) -> Column:
+    """The category of a rule id; `other` for ids without one and for null."""
+    table = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, rule), F.lit(other))
+
+
+def node_type(raw: Column) -> Column:
+    """cfg_node or ast_node: by the whole name, else by a part of it, else cfg_node.
+
+    Case, outer white space and an enum's prefix don't count; both parts in one name mean ast_node.
+    """
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), r"^nodetypes\.", "")
+    return F.when(name.isin("cfg_node", "cfg"), "cfg_node").when(name.contains("ast"), "ast_node").otherwise("cfg_node")
+
+
+def relative_path(path: Column, base: Column, keep: str = "temp_projects") -> Column:
+    """The path with forward slashes: what follows the base folder, else as it is if it names `keep`, else its last part."""
+    slashed, root = F.replace(path, F.lit("\\"), F.lit("/")), F.rtrim(base, F.lit("/"))
+    inside = F.startswith(slashed, F.concat(root, F.lit("/")))
+    last = F.regexp_extract(slashed, r"([^/]*)/*$", 1)
+    return F.when(slashed == root, F.lit(".")).when(inside, F.substr(slashed, F.length(root) + 2)).when(slashed.contains(keep), slashed).otherwise(last)
+
+
+def attributes_json(*columns: str) -> Column:
+    """The columns as one JSON object; null ones have no key, and what JSON can't hold stands as text."""
+    return F.to_json(F.struct(*columns))
+
+
+def ordered_union(parts: list[DataFrame], key: str) -> DataFrame:
+    """key, part, place: each key once, where it first stands: by part, then place within it.
+
+    parts: key and place.
+    """
+    tagged = [p.select(key, F.lit(i).alias("part"), "place") for i, p in enumerate(parts)]
+    rows = tagged[0]
+    for p in tagged[1:]:
+        rows = rows.unionByName(p)
+    first = rows.groupBy(key).agg(F.min(F.struct("part", "place")).alias("_at"))
+    return first.select(key, "_at.part", "_at.place")
+
+
+def one_project(projects: DataFrame, key: str, seed: int) -> DataFrame:
+    """The row of one project, picked by a seeded hash: reruns and partitions agree."""
+    return projects.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(1)
+
+
 def squeeze(text: Column) -> Column:
     """The text without white space, for comparisons of code."""
     return F.regexp_replace(text, r"\s+", "")

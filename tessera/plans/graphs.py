@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import graphs as G
@@ -47,10 +48,13 @@ def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.upsert_edges(edges, ["src", "dst"], ["o_orderdate", "o_orderkey"], ["status", "big"])
 
 
-@query("""SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)""")
+@query("""SELECT o_orderkey AS node FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1""")
 def degrees_entry_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return G.entry_nodes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), edges, "node")
+    """Every order leads to its customer's next one; the first ones are entered by none."""
+    orders = table(spark, sf_dir, "orders")
+    following = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = orders.select(F.col("o_orderkey").alias("src"), following.alias("dst")).where("dst IS NOT NULL")
+    return G.entry_nodes(orders.select(F.col("o_orderkey").alias("node")), edges, "node")
 
 
 @query("""SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (
@@ -99,13 +103,13 @@ def khop_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.drop_tiny(members, G.induced(members, edges, "graph", "node"), "graph")
 
 
-@query(f"""WITH {_TYPED}, g AS (SELECT DISTINCT src % 5 AS graph FROM typed), r AS (SELECT DISTINCT src_type, etype, dst_type FROM typed),
-  n AS (SELECT src % 5 AS graph, src_type, etype, dst_type, count(*) AS n_edges FROM typed WHERE src % 3 > 0 GROUP BY ALL)
+@query(f"""WITH {_TYPED}, g AS (SELECT DISTINCT src % 100 AS graph FROM typed), r AS (SELECT DISTINCT src_type, etype, dst_type FROM typed),
+  n AS (SELECT src % 100 AS graph, src_type, etype, dst_type, count(*) AS n_edges FROM typed GROUP BY ALL)
   SELECT g.graph, r.*, coalesce(n.n_edges, 0) AS n_edges FROM g CROSS JOIN r LEFT JOIN n USING (graph, src_type, etype, dst_type)""")
 def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = _typed(spark, sf_dir).withColumn("graph", F.col("src") % 5)
+    typed = _typed(spark, sf_dir).withColumn("graph", F.col("src") % 100)
     keys = ["src_type", "etype", "dst_type"]
-    counts = typed.where("src % 3 > 0").groupBy("graph", *keys).agg(F.count("*").alias("n_edges"))
+    counts = typed.groupBy("graph", *keys).agg(F.count("*").alias("n_edges"))
     return G.standardise(counts, typed, typed.select(*keys).distinct(), keys, "graph")
 
 
@@ -120,16 +124,17 @@ def drop_cross_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).where("src_type = dst_type AND etype IN ('next_to', 'part_of')").select("src", "etype", "dst")
 
 
-@query("""WITH e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0), f AS (SELECT doc_id AS node FROM documents WHERE doc_id % 17 = 3)
+@query("""WITH e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0), f AS (SELECT DISTINCT doc_id AS node FROM labels WHERE toxic = 1)
   SELECT node, CASE min(p) WHEN 0 THEN 'own' WHEN 1 THEN 'forward' ELSE 'backward' END AS via FROM (
     SELECT node, 0 AS p FROM f UNION ALL SELECT dst, 1 FROM e WHERE src IN (SELECT node FROM f) UNION ALL SELECT src, 2 FROM e WHERE dst IN (SELECT node FROM f)) GROUP BY node""")
 def propagate_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _int_graph(spark, sf_dir)
-    return G.propagate_one_hop(nodes.where("node % 17 = 3"), edges, "node")
+    found = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("node")).distinct()
+    return G.propagate_one_hop(found, _int_graph(spark, sf_dir)[1], "node")
 
 
-_DIMS = ["d0", "d1", "d2", "d3"]
-_VECTORS = "v AS (SELECT vec_id AS node, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS d{i}" for i in range(4)) + " FROM embeddings), e AS (SELECT vec_id AS src, vec_id // 3 AS dst FROM embeddings)"
+#: all columns of an embedding
+_DIMS = [f"d{i}" for i in range(64)]
+_VECTORS = "v AS (SELECT vec_id AS node, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS d{i}" for i in range(64)) + " FROM embeddings), e AS (SELECT vec_id AS src, vec_id // 3 AS dst FROM embeddings)"
 
 
 def _message(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
@@ -167,6 +172,6 @@ def relation_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.softmax_by(n, ["dst_type", "dst"], F.col("n") / 10.0, "w").select("dst_type", "dst", "etype", F.round("w", 6).alias("weight"))
 
 
-@query("SELECT label, " + ", ".join(f"round(sum(embedding[{i + 1}]::DOUBLE), 6) AS d{i}" for i in range(4)) + " FROM embeddings GROUP BY label")
+@query("SELECT label, " + ", ".join(f"round(sum(embedding[{i + 1}]::DOUBLE), 6) AS d{i}" for i in range(64)) + " FROM embeddings GROUP BY label")
 def readout_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(*[F.round(F.sum(F.col("embedding")[i].cast("double")), 6).alias(f"d{i}") for i in range(4)])
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(*[F.round(F.sum(F.col("embedding")[i].cast("double")), 6).alias(d) for i, d in enumerate(_DIMS)])

@@ -57,9 +57,9 @@ def bubble_up_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TYPES = ["ECONOMY", "STANDARD", "PROMO", "MEDIUM", "SMALL", "LARGE", "NONE", "OTHER"]
 
 
-@query("SELECT l_suppkey, " + ", ".join(f"max((p_type = '{c}')::INT)::DOUBLE AS c{i}" for i, c in enumerate(_TYPES)) + " FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49 GROUP BY 1")
+@query("SELECT l_suppkey, " + ", ".join(f"max((p_type = '{c}')::INT)::DOUBLE AS c{i}" for i, c in enumerate(_TYPES)) + " FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
     return L.multi_hot(lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey"), ["l_suppkey"], "p_type", _TYPES)
 
 
@@ -119,13 +119,13 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT p_type AS class, count(*) AS n FROM part GROUP BY 1), rare AS (SELECT class FROM c WHERE n < (SELECT avg(n) FROM c))
-  SELECT l_orderkey, l_partkey, unnest(range(CASE WHEN class IS NULL THEN 1 ELSE 3 END)) AS copy FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 50)
+  SELECT l_orderkey, l_partkey, unnest(range(CASE WHEN class IS NULL THEN 1 ELSE 3 END)) AS copy FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
   JOIN part ON p_partkey = l_partkey LEFT JOIN rare ON class = p_type""")
 def rare_class_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     counts = part.groupBy("p_type").agg(F.count("*").alias("n"))
     rare = counts.crossJoin(F.broadcast(counts.agg(F.avg("n").alias("mean")))).where("n < mean").select("p_type", F.lit(True).alias("rare"))
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select("l_orderkey", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     tagged = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(rare, "p_type", "left")
     return L.oversample(tagged, F.coalesce("rare", F.lit(False)), 3.0).select("l_orderkey", "l_partkey", "copy")
 

@@ -10,25 +10,25 @@ from tessera.plans.catalogue import query
 from tessera.sources import table
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 50 AS target, l_suppkey % 8 AS args FROM lineitem WHERE l_quantity >= 45),
-  d AS (SELECT p_partkey, p_partkey % 50 AS target, p_size % 8 AS d_args FROM part WHERE p_partkey % 5 = 0),
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey // 4 AS target, l_suppkey % 8 AS args FROM lineitem),
+  d AS (SELECT p_partkey, p_partkey // 4 AS target, p_size % 8 AS d_args FROM part),
   j AS (SELECT *, coalesce(args = d_args, false) AS exact FROM s JOIN d USING (target))
   SELECT l_orderkey, l_linenumber, target, args, p_partkey, exact FROM (SELECT *, bool_or(exact) OVER (PARTITION BY l_orderkey, l_linenumber, target, args) AS a FROM j) WHERE exact OR NOT a""")
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("target"), (F.col("l_suppkey") % 8).alias("args")).distinct()
-    defs = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_partkey", (F.col("p_partkey") % 50).alias("target"), (F.col("p_size") % 8).alias("d_args"))
+    sites = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_partkey div 4").alias("target"), (F.col("l_suppkey") % 8).alias("args")).distinct()
+    defs = table(spark, sf_dir, "part").select("p_partkey", F.expr("p_partkey div 4").alias("target"), (F.col("p_size") % 8).alias("d_args"))
     out = L.resolve_calls(sites, defs, ["l_orderkey", "l_linenumber", "target", "args"], ["target"], "args", "d_args")
     return out.select("l_orderkey", "l_linenumber", "target", "args", "p_partkey", "exact")
 
 
-@query("""WITH c AS (SELECT DISTINCT o_orderkey AS site, o_custkey % 40 AS target FROM orders WHERE o_orderkey % 10 = 0),
-  r AS (SELECT DISTINCT o_custkey % 40 AS target, o_orderkey AS node FROM orders WHERE o_orderkey % 500 = 7),
+@query("""WITH c AS (SELECT DISTINCT o_orderkey AS site, o_custkey AS target FROM orders),
+  r AS (SELECT DISTINCT o_custkey AS target, o_orderkey AS node FROM orders),
   f AS (SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders UNION SELECT o_orderkey, o_orderkey + 2 FROM orders WHERE o_orderstatus = 'F')
   SELECT DISTINCT r.node AS src, f.dst FROM c JOIN r USING (target) JOIN f ON f.src = c.site""")
 def return_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    calls = orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("site"), (F.col("o_custkey") % 40).alias("target")).distinct()
-    returns = orders.where("o_orderkey % 500 = 7").select((F.col("o_custkey") % 40).alias("target"), F.col("o_orderkey").alias("node")).distinct()
+    calls = orders.select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("target")).distinct()
+    returns = orders.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("node")).distinct()
     flow = orders.select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst")).unionByName(orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 2).alias("dst")))
     return L.return_edges(calls, returns, flow.distinct(), "target", "site")
 
@@ -97,13 +97,13 @@ def tx_count_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH u AS (
   SELECT 'events' AS tool, user_id AS owner, event_id AS line, event_type AS category FROM events WHERE event_type = 'error'
   UNION ALL SELECT 'labels', doc_id % 150, doc_id, 'toxic' FROM labels WHERE toxic = 1
-  UNION ALL SELECT 'lines', l_orderkey % 150, l_partkey, 'R' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50))
+  UNION ALL SELECT 'lines', l_orderkey % 150, l_partkey, 'R' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'))
   SELECT owner, tool, line, category, row_number() OVER (PARTITION BY owner ORDER BY tool, line, category) AS counter FROM (SELECT DISTINCT * FROM u)""")
 def multi_branch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     a = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.lit("events").alias("tool"), F.col("user_id").alias("owner"), F.col("event_id").alias("line"), F.col("event_type").alias("category"))
     b = table(spark, sf_dir, "labels").where("toxic = 1").select(F.lit("labels").alias("tool"), (F.col("doc_id") % 150).alias("owner"), F.col("doc_id").alias("line"), F.lit("toxic").alias("category"))
-    c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 50").select(F.lit("lines").alias("tool"), (F.col("l_orderkey") % 150).alias("owner"), F.col("l_partkey").alias("line"), F.lit("R").alias("category"))
+    c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.lit("lines").alias("tool"), (F.col("l_orderkey") % 150).alias("owner"), F.col("l_partkey").alias("line"), F.lit("R").alias("category"))
     rows = a.unionByName(b).unionByName(c).distinct()
     return rows.select("owner", "tool", "line", "category", F.row_number().over(W.partitionBy("owner").orderBy("tool", "line", "category")).alias("counter"))

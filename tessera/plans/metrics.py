@@ -115,11 +115,17 @@ def focal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).agg(F.round(F.avg(M.focal_loss(F.col("p"), F.col("y"), 0.75, 2.0, 2.0, 0.1)), 6).alias("loss"))
 
 
-_DIMS = [f"d{i}" for i in range(4)]
+_DIMS = [f"d{i}" for i in range(64)]
 
 
-@query("WITH v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS d{i}" for i in range(4)) + " FROM embeddings) SELECT vec_id, label, "
+@query("WITH v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS d{i}" for i in range(64)) + " FROM embeddings) SELECT vec_id, label, "
        + ", ".join(f"round(CASE WHEN count(*) OVER w > 1 THEN ({d} - avg({d}) OVER w) / (stddev_samp({d}) OVER w + 1e-6) ELSE {d} END, 6) AS {d}" for d in _DIMS) + " FROM v WINDOW w AS (PARTITION BY label)")
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(_DIMS)])
     return _rounded(M.zscore(v, ["label"], _DIMS), *_DIMS)
+
+
+@query("""SELECT vec_id, list_position(embedding, list_max(embedding))::BIGINT - 1 AS class, round(1 / (1 + exp(-list_max(embedding)::DOUBLE)), 6) AS confidence FROM embeddings WHERE 1 / (1 + exp(-list_max(embedding)::DOUBLE)) > 0.56""")
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detected, kind, confidence = M.detections(F.col("embedding").cast("array<double>"), 0.56)
+    return table(spark, sf_dir, "embeddings").where(detected).select("vec_id", kind.alias("class"), F.round(confidence, 6).alias("confidence"))

@@ -5,17 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.vocabulary import NO_CATEGORY, RULE_CATEGORIES, RULES
 from tessera.operators import rules as R
 from tessera.plans.catalogue import query
 from tessera.sources import table
 
-_RULES = [("license", "icense"), ("stars", r"\*\*\*"), ("capitals", "[A-Z][A-Z][A-Z][A-Z]"), ("phone", "[0-9][0-9][0-9]-[0-9][0-9][0-9][0-9]"), ("mail", "@")]
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"
 
 
-@query(f"WITH {_LINES}, r AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{p}')" for i, p in _RULES) + ") v(rule_id, p)) SELECT doc_id, line_no, rule_id FROM l JOIN r ON regexp_matches(line, p)")
+_CODE = """CASE event_type WHEN 'view' THEN 'a.transfer(' || user_id || ');' WHEN 'click' THEN 'uint x' || user_id || ' ;' WHEN 'purchase' THEN 'x.call{value:1}(y)' WHEN 'error' THEN 'require(tx.origin==block.timestamp)'
+  ELSE CASE WHEN event_id % 3 = 0 THEN 'delegatecall(a+SafeMath' WHEN event_id % 3 = 1 THEN 'a ++SafeMath' ELSE 'b / SafeMath, block.gaslimit' END END"""
+#: the rules in a dialect without lookahead: an operator that SafeMath follows at once is none
+_SQL_RULES = [(r, "[-+*/]" if r == "SWC-101" else p) for r, p, _, _ in RULES]
+
+
+@query(f"WITH {_LINES}, a AS (SELECT doc_id AS id, line_no, line FROM l UNION ALL SELECT -1 - event_id, 1, {_CODE} FROM events), r(rule_id, p, severity, category) AS (VALUES "
+       + ", ".join(f"('{i}', '{p}', '{s}', '{RULE_CATEGORIES[i]}')" for (i, p), (_, _, s, _) in zip(_SQL_RULES, RULES, strict=True))
+       + ") SELECT id, line_no, rule_id, severity, category FROM a JOIN r ON regexp_matches(CASE WHEN rule_id = 'SWC-101' THEN regexp_replace(line, '[-+*/]SafeMath', '', 'g') ELSE line END, p)")
 def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.scan(R.lines(table(spark, sf_dir, "documents"), ["doc_id"], "text"), _RULES).select("doc_id", "line_no", "rule_id")
+    """The fixed rules over the lines of all documents, and over a line of code made of every event."""
+    code = table(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("id"), F.lit(1).alias("line_no"), F.expr(_CODE).alias("line"))
+    docs = R.lines(table(spark, sf_dir, "documents"), ["doc_id"], "text").withColumnRenamed("doc_id", "id")
+    severity = F.create_map(*[F.lit(x) for r, _, s, _ in RULES for x in (r, s)])
+    found = R.scan(docs.unionByName(code), [(r, p) for r, p, _, _ in RULES])
+    return found.select("id", "line_no", "rule_id", severity[F.col("rule_id")].alias("severity"), R.category(F.col("rule_id"), RULE_CATEGORIES, NO_CATEGORY).alias("category"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN ' NodeTypes.AST_NODE ' WHEN '2-HIGH' THEN 'cfg' WHEN '3-MEDIUM' THEN 'LastCfg' WHEN '4-NOT SPECIFIED' THEN 'my cfg node' ELSE NULL END AS raw FROM orders)
+  SELECT o_orderkey, raw, CASE WHEN contains(lower(raw), 'ast') THEN 'ast_node' ELSE 'cfg_node' END AS node_type FROM r""")
+def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN ' NodeTypes.AST_NODE ' WHEN '2-HIGH' THEN 'cfg' WHEN '3-MEDIUM' THEN 'LastCfg' WHEN '4-NOT SPECIFIED' THEN 'my cfg node' ELSE NULL END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", "raw", R.node_type(F.col("raw")).alias("node_type"))
+
+
+_PATHS = """CASE WHEN o_orderkey % 4 = 0 THEN '/data/base/' || o_custkey || '/a.sol' WHEN o_orderkey % 4 = 1 THEN translate('/data/base/' || o_custkey || '.sol', '/', chr(92)) WHEN o_orderkey % 4 = 2 THEN '/x/temp_projects/' || o_custkey || '/b.sol' ELSE '/data/baseline/' || o_custkey || '/c.sol' END"""
+
+
+@query(f"WITH p AS (SELECT o_orderkey, {_PATHS} AS path FROM orders)" + """ SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN substr(replace(path, chr(92), '/'), 12) WHEN o_orderkey % 4 = 2 THEN path ELSE 'c.sol' END AS path FROM p""")
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PATHS).alias("path")).select("o_orderkey", R.relative_path(F.col("path"), F.lit("/data/base/")).alias("path"))
+
+
+@query("""SELECT c_custkey, json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_nationkey', c_nationkey)::VARCHAR AS attributes FROM customer""")
+def attributes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", R.attributes_json("c_custkey", "c_name", "c_nationkey").alias("attributes"))
+
+
+@query("""SELECT key, min(part)::INT AS part, arg_min(place, part)::BIGINT AS place FROM (
+  SELECT o_custkey AS key, 0 AS part, min(o_orderkey) AS place FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, 1, c_custkey FROM customer) GROUP BY key""")
+def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("place"))
+    return R.ordered_union([first, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("place"))], "key")
+
+
+@query("""SELECT c_custkey, c_name FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 1""")
+def one_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.one_project(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 42)
 
 
 @query(f"""WITH {_LINES}, b AS (SELECT md5(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\r\\n\\x0B\\f]+', '', 'g')) AS m, item_id FROM benchmark), f AS (SELECT m, min(item_id) AS item_id FROM b GROUP BY m)
