@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.mixing import word_count
-from tessera.llm.tables import written
+from tessera.llm.tables import free, written
 
 MIN_WORDS = 20
 
@@ -157,11 +157,12 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     A text of which only lines without words are left is dropped with its row; a row whose text
     was null, empty or without words to begin with stays.
     """
-    runs = repeated_runs(docs, min_words).groupBy("doc_id", "text_md5").agg(F.collect_set(F.struct("first_line", "last_line")).alias("_runs"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "_runs")
-    hit = docs.join(runs, docs.doc_id.eqNullSafe(F.col("_id")) & (F.md5(docs.text.cast("string")) == F.col("_md5")), "left")
-    left = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> NOT exists(_runs, r -> i BETWEEN r.first_line AND r.last_line)), '\\n')")
-    out = hit.withColumn("_left", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(left))
-    out = out.where(F.col("_runs").isNull() | (word_count("_left") > 0))
-    columns = [F.col("_left").alias("text") if c == "text" else F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("_left")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    found = repeated_runs(docs, min_words).groupBy("doc_id", "text_md5").agg(F.collect_set(F.struct("first_line", "last_line")).alias("runs"))
+    runs, own_id, digest, left = free(docs, "line_runs", "run_doc_id", "run_text_md5", "text_left")
+    found = found.select(F.col("doc_id").alias(own_id), F.col("text_md5").alias(digest), F.col("runs").alias(runs))
+    hit = docs.join(found, docs.doc_id.eqNullSafe(F.col(own_id)) & (F.md5(docs.text.cast("string")) == F.col(digest)), "left")
+    rest = F.expr(f"array_join(filter(split(text, '\\n'), (l, i) -> NOT exists({runs}, r -> i BETWEEN r.first_line AND r.last_line)), '\\n')")
+    whole = F.col(runs).isNull()
+    out = hit.withColumn(left, F.when(whole, F.col("text")).otherwise(rest)).where(whole | (word_count(left) > 0))
+    n_chars = lambda: F.when(whole, F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[F.col(left).alias("text") if c == "text" else n_chars() if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

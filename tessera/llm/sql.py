@@ -112,9 +112,29 @@ equal AS (
   JOIN lines a ON a.doc_id IS NOT DISTINCT FROM p.a_id AND a.t = p.a_t AND a.seq = b.seq - p.shift AND a.h = b.h),
 runs AS (
   SELECT doc_id, t, a_id, a_t, shift, island, min(seq) AS s, max(seq) AS e, min(line) AS first_line, max(line) AS last_line, max(ahead + words) - min(ahead) AS n_words
-  FROM equal GROUP BY ALL)
-SELECT DISTINCT r.doc_id, r.first_line::BIGINT AS first_line, r.last_line::BIGINT AS last_line, r.n_words::BIGINT AS n_words, r.a_id AS source_doc_id, r.shift, r.a_t
-FROM runs r JOIN matches m ON m.doc_id IS NOT DISTINCT FROM r.doc_id AND m.t = r.t AND m.a_id IS NOT DISTINCT FROM r.a_id AND m.a_t = r.a_t AND m.shift = r.shift AND m.seq BETWEEN r.s AND r.e
+  FROM equal GROUP BY ALL),
+found AS MATERIALIZED (
+  SELECT DISTINCT r.doc_id, r.t, r.s, r.e, r.first_line::BIGINT AS first_line, r.last_line::BIGINT AS last_line, r.n_words::BIGINT AS n_words, r.a_id AS source_doc_id, r.shift, r.a_t
+  FROM runs r JOIN matches m ON m.doc_id IS NOT DISTINCT FROM r.doc_id AND m.t = r.t AND m.a_id IS NOT DISTINCT FROM r.a_id AND m.a_t = r.a_t AND m.shift = r.shift AND m.seq BETWEEN r.s AND r.e),
+shortest AS MATERIALIZED (
+  SELECT doc_id, t, seq AS s, max(seq) OVER f AS e, md5(array_to_string(list(h) OVER f, '')) AS gram, sum(words) OVER f AS n FROM lines
+  WINDOW f AS (PARTITION BY doc_id, t ORDER BY ahead RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING)
+  UNION SELECT doc_id, t, min(seq) OVER u, seq, md5(array_to_string(list(h) OVER u, '')), sum(words) OVER u FROM lines
+  WINDOW u AS (PARTITION BY doc_id, t ORDER BY ahead + words RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)),
+placed AS (
+  SELECT *, row_number() OVER p AS r, first_value(doc_id) OVER p AS a_id, first_value(t) OVER p AS a_t, s - first_value(s) OVER p AS shift
+  FROM shortest WHERE e > s AND n >= 20 WINDOW p AS (PARTITION BY gram ORDER BY doc_id NULLS LAST, t, s)),
+bare AS MATERIALIZED (
+  SELECT l.doc_id, l.t, l.seq FROM lines l LEFT JOIN found f ON f.doc_id IS NOT DISTINCT FROM l.doc_id AND f.t = l.t AND l.seq BETWEEN f.s AND f.e WHERE f.s IS NULL),
+later AS (
+  SELECT DISTINCT p.doc_id, p.t, p.a_id, p.a_t, p.shift, p.s, p.e FROM placed p JOIN bare b ON b.doc_id IS NOT DISTINCT FROM p.doc_id AND b.t = p.t AND b.seq BETWEEN p.s AND p.e WHERE p.r > 1),
+reached AS (SELECT *, max(e) OVER (PARTITION BY doc_id, t, a_id, a_t, shift ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM later),
+numbered AS (SELECT *, sum(CASE WHEN s <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, t, a_id, a_t, shift ORDER BY s, e) AS run FROM reached),
+joined AS (SELECT doc_id, t, a_id, a_t, shift, run, min(s) AS s, max(e) AS e FROM numbered GROUP BY ALL),
+more AS (
+  SELECT j.doc_id, x.line::BIGINT AS first_line, y.line::BIGINT AS last_line, (y.ahead + y.words - x.ahead)::BIGINT AS n_words, j.a_id AS source_doc_id
+  FROM joined j JOIN lines x ON x.doc_id IS NOT DISTINCT FROM j.doc_id AND x.t = j.t AND x.seq = j.s JOIN lines y ON y.doc_id IS NOT DISTINCT FROM j.doc_id AND y.t = j.t AND y.seq = j.e)
+SELECT doc_id, first_line, last_line, n_words, source_doc_id FROM found UNION ALL SELECT * FROM more
 """
 
 BY_QUERY = {
@@ -122,5 +142,5 @@ BY_QUERY = {
     "op3_mixing": MIXING,
     "op4_url_filter": URL_FILTER,
     "op7_decontamination": DECONTAMINATION,
-    "op8_repeated_lines": f"SELECT doc_id, first_line, last_line, n_words, source_doc_id FROM ({REPEATED_LINES})",
+    "op8_repeated_lines": REPEATED_LINES,
 }

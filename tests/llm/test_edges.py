@@ -115,6 +115,14 @@ def test_repeated_lines(docs, none):
     assert lines.repeated_runs(none).count() == 0 and lines.drop_repeated_runs(none).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(docs):
+    names = "_runs _id _md5 _left line_runs run_doc_id run_text_md5 text_left seq words ahead gram b t".split()
+    odd = docs.selectExpr("*", *[f"'keep {n}' AS {n}" for n in names])
+    rows = lines.drop_repeated_runs(odd).collect()
+    assert lines.drop_repeated_runs(odd).columns == odd.columns and all(r[n] == f"keep {n}" for r in rows for n in names)
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted((r.doc_id or 0, r.text or "") for r in lines.drop_repeated_runs(docs).collect())
+
+
 def test_lines_whose_middle_stands_earlier_elsewhere(spark):
     """Every line of every earlier run of 20 words is covered, wherever the first places of its parts are."""
     r, texts = random.Random(21), []
