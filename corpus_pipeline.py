@@ -6,12 +6,10 @@ as the docs of the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, lines, mixing, near_duplicates, registry, toxicity
-from tessera.llm.tables import shared_folder
+from tessera.llm.tables import drop, written
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and goes when the next one stands."""
     docs = registry.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(docs)
+        docs = done
     return docs
