@@ -73,3 +73,53 @@ def test_toxicity_query(spark, sf_dir):
         z = np.dot(evidence(found), curve) + math.log(base / (1 - base))
         assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6) and i not in got[i].neighbours
         assert got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
+    """Each stage's rows from its own input: scores, SQL of the operators over that input, and plain Python."""
+    import corpus_pipeline
+    from tessera.llm import sql
+
+    con = duckdb.connect()
+    for t in ("labels", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = rows_of(sf_dir, "documents")
+    toxic = {r.doc_id for r in registry.op1_toxicity(spark, sf_dir).where("predicted = 1").collect()}
+
+    def lines_left(found):
+        runs = {}
+        for r in con.execute(sql.REPEATED_LINES).fetchall():
+            runs.setdefault(r[0], set()).update(range(r[1], r[2] + 1))
+        for i, text in found.items():
+            kept = text if i not in runs else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in runs[i])
+            if i not in runs or kept.split():
+                yield i, kept
+
+    def clean(found):
+        hits = {r[0]: r for r in con.execute(f"SELECT doc_id, n_words, n_hit FROM ({sql.DECONTAMINATION}) WHERE contaminated").fetchall()}
+        return {i: None if i in hits else text for i, text in found.items() if i not in hits or hits[i][2] <= 0.5 * hits[i][1]}
+
+    expected = [
+        lambda found: {i: t for i, t in found.items() if i not in toxic},
+        lambda found: dict(lines_left(found)),
+        lambda found: {r[0]: found[r[0]] for r in con.execute(f"SELECT doc_id FROM ({sql.NEAR_DUPLICATES}) WHERE kept").fetchall()},
+        clean,
+    ]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        con.execute("CREATE OR REPLACE TABLE documents AS SELECT * FROM before")
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        after = duckdb.sql(f"SELECT * FROM '{tmp_path / str(k)}/*.parquet'").df()
+        if k < 4:
+            want = expected[k](dict(zip(before.doc_id.tolist(), before.text.tolist(), strict=True)))
+            got = dict(zip(after.doc_id.tolist(), after.text.tolist(), strict=True))
+            assert set(got) == set(want) and len(after) == len(got)
+            assert all(t is None or got[i] == t for i, t in want.items())
+            assert all(len(t) == n for t, n in zip(after.text, after.n_chars, strict=True))
+        else:
+            want = con.execute(sql.MIXING).fetchall()
+            got = sorted(tuple(r) for r in docs.select("doc_id", "size", "source_size", "target", "taken").collect())
+            assert [(r[0], r[1], r[2], r[4]) for r in got] == sorted((r[0], r[1], r[2], r[4]) for r in want)
+            assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)])
+        before = after

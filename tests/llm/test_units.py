@@ -249,6 +249,37 @@ def test_main_text():
     assert html.main_text("plain words, no markup.") == "plain words, no markup."
 
 
+PLAIN = """<html><body><div id="top"><div><a href=x>Home</a> <a href=y>World</a> <a href=z>Sport</a></div></div>
+<div class="story"><h2>Rain again</h2><div class="market-share">Shares, it seems, fell; then they rose, and fell again.</div><p class="market-share">It rained, and rained; nobody, they said, was dry.</p>
+<p><a href=q>The whole report, with tables, can be read here.</a></p><p>On Monday, the sun is due, perhaps.</p></div>
+<div id="links"><ul><li><a href=1>Ten best umbrellas</a><li><a href=2>Ten worst boots</a><li><a href=3>More</a></ul></div></body></html>"""
+
+
+def test_main_text_without_article_is_decided_by_ratios():
+    """The link lists have no telling tag or name; their ratio alone leaves them out, and the story's container its headings in."""
+    got = html.main_text(PLAIN).split("\n")
+    assert got[0] == "Rain again" and got[-1] == "On Monday, the sun is due, perhaps."
+    assert "Shares, it seems, fell; then they rose, and fell again." in got and "It rained, and rained; nobody, they said, was dry." in got
+    assert not any(x in " ".join(got) for x in ("Home", "umbrellas", "boots"))
+    article = html.main_text(PLAIN.replace('<div class="story">', "<article>").replace('</div>\n<div id="links">', '</article>\n<div id="links">'))
+    assert "The whole report, with tables, can be read here." in article.split("\n")
+
+
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    words = "Some words, and more. "
+    forms = {"inline": lambda n: "<p>" + "<b>x</b> y " * n, "unclosed": lambda n: "<a " * n, "nested": lambda n: "<div>x" * n, "quotes": lambda n: "<p>it's <a b='" * n, "paragraphs": lambda n: "<p>" + words + "<b>" * 3 + "<li>" * (n // 5), "inside": lambda n: "<b>" * n + "<p>x</p>" * n}
+    for name, make in forms.items():
+        small, large = make(1000), make(8000)
+        t0 = time.process_time()
+        html.main_text(small)
+        t1 = time.process_time()
+        html.main_text(large)
+        t2 = time.process_time()
+        assert t2 - t1 < 24 * (t1 - t0) + 0.3, name
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/\"'=apdivnscrt& ;#x!-", max_size=80))
 def test_main_text_never_fails(page):
