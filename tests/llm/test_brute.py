@@ -123,3 +123,71 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
             assert [(r[0], r[1], r[2], r[4]) for r in got] == sorted((r[0], r[1], r[2], r[4]) for r in want)
             assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)])
         before = after
+
+
+def test_repeated_passages_are_found_and_real(spark):
+    """Against plain Python: every planted passage of 50 words is found, and all that is reported stands elsewhere too."""
+    import random
+
+    from tessera.llm import chunks
+
+    r = random.Random(17)
+    words = lambda n: " ".join(r.choice("aeiou") * r.randrange(1, 3) + r.choice("bcdfg") + str(r.randrange(400)) for _ in range(n))
+    passages = [words(50 + k % 3) for k in range(60)]
+    texts = [(k, f"{words(r.randrange(60))} {p} {words(r.randrange(60))}".strip()) for k, p in enumerate(passages * 2)]
+    texts += [(200, words(80)), (201, ""), (202, None), (None, words(5) + " " + passages[0]), (None, passages[1]), (203, passages[2]), (203, passages[2]), (203, words(9) + " " + passages[3]), (204, "x " + passages[4] + " y " + passages[4])]
+    df = spark.createDataFrame([(i, t, 1, "d") for i, t in texts], "doc_id long, text string, chunk int, digest string")
+    rows = chunks.repeated_passages(df).collect()
+    covered = {}
+    for x in rows:
+        at = [t for i, t in texts if i == x.doc_id and t and x.n_words == len(t[x.first_char : x.first_char + x.n_chars].split()) and sum(t[x.first_char : x.first_char + x.n_chars] in (u or "") for _, u in set(texts)) + (t.count(t[x.first_char : x.first_char + x.n_chars]) > 1) > 1]
+        assert at, x
+        covered.setdefault(x.doc_id, []).append(x)
+    assert {60 + k for k in range(60)} <= set(covered) and {None, 203, 204} <= set(covered)
+    assert not {k for k in range(60)} & set(covered) and not {200, 201, 202} & set(covered)
+    for k in range(60):
+        text = dict(texts[60:120])[60 + k]
+        start = text.index(passages[k])
+        assert any(x.first_char < start + len(passages[k]) and x.first_char + x.n_chars > start and x.source_doc_id == k for x in covered[60 + k])
+    assert len(covered[204]) == 2 and len(covered[203]) == 2 and {x.n_words for x in covered[203]} <= set(range(20, 53))
+
+
+def test_quality_scores_are_the_dot_products(spark, sf_dir):
+    """Scores of the query from its weights by plain Python, and the weights by a plain follow-the-regularised-leader."""
+    import pyarrow as pa
+
+    from tessera.llm import quality, toxicity
+    from tessera.llm.textvec import Texts, mix
+
+    docs, labels = rows_of(sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    picked = toxicity.training_labels(labels, "quality", 5, 0, held=False)
+    known = {r.doc_id: int(r.label) for r in picked.collect() if r.label in (0, 1)}
+    texts = dict(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True))
+
+    def shares(text):
+        _, slots = quality.features(Texts(pa.array([text], pa.string())))
+        return {s: quality.SCALE * n / len(slots) for s, n in Counter(slots.tolist()).items()}
+
+    z, n = Counter(), Counter()
+    bias = 1 << quality.BITS
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.5 else -(z[i] - math.copysign(0.5, z[i])) / ((1 + math.sqrt(n[i])) / 0.3 + 0.5)
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+    ids = np.array(sorted(i for i in known if i in texts))
+    order = ids[np.argsort(mix(ids.astype(np.int64).view(np.uint64)), kind="stable")].tolist()
+    rows = {i: {s: float(np.float32(v)) for s, v in shares(texts[i]).items()} | {bias: 1.0} for i in order}
+    for _ in range(quality.EPOCHS):
+        for i in order:
+            w = {s: weight(s) for s in rows[i]}
+            p = sigmoid(sum(w[s] * x for s, x in rows[i].items()))
+            for s, x in rows[i].items():
+                g = (p - known[i]) * x
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / 0.3 * w[s]
+                n[s] += g * g
+    got = {r.doc_id: r.score for r in registry.op9_quality(spark, sf_dir).collect()}
+    for i, text in texts.items():
+        assert got[i] == pytest.approx(sigmoid(sum(weight(s) * x for s, x in shares(text).items()) + weight(bias)), abs=1e-6)

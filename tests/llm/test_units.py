@@ -122,6 +122,13 @@ def test_gear_hash_is_the_rolling_one():
     assert chunks.gear(raw).tolist() == want
 
 
+def test_gear_hash_of_a_span_is_rolled_over_it_alone():
+    raw = np.frombuffer(random.Random(4).randbytes(300), np.uint8)
+    h = chunks.gear(raw)
+    for start, stop in ((0, 1), (0, 31), (0, 50), (7, 8), (9, 40), (9, 41), (100, 300), (33, 64)):
+        assert chunks.gear_of(h, np.array([start]), np.array([stop]))[0] == chunks.gear(raw[start:stop])[-1]
+
+
 def test_chunks_cover_the_rows_and_resist_insertions():
     rng = random.Random(4)
     text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + str(rng.randrange(99)) for _ in range(600))
