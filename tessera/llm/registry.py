@@ -47,7 +47,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the page of `/language/number` shows the document of that number, and is bad where its quality label is 0."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     shown = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '^[^:]*://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint)").alias("doc_id"))
-    outcomes = shown.join(labels.where("quality IN (0, 1)").groupBy("doc_id").agg((1 - F.max("quality")).alias("bad")), "doc_id").select("page_id", "bad")
+    outcomes = shown.join(labels.where("quality IN (0, 1)").groupBy("doc_id").agg((1 - F.max("quality")).alias("bad")), "doc_id")
+    # a page_id that repeats counts once for each of its rows
+    outcomes = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
     return urls.judge(pages, outcomes, URL_RULES)
 
 

@@ -1,5 +1,7 @@
 """DuckDB SQL that returns the rows of the queries which SQL can express on whole tables."""
 
+from tessera.llm.urls import SUFFIXES
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NEAR_DUPLICATES = r"""
@@ -52,9 +54,10 @@ seen AS (
   SELECT s.host, sum(b.bad)::DOUBLE AS bad, count(*)::DOUBLE AS n
   FROM split s JOIN bad b ON b.doc_id = try_cast(regexp_extract(s.url, '^[^:]*://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT) GROUP BY s.host),
 base AS (
-  SELECT h.host, array_to_string(list_slice(string_split(h.host, '.'), -2, -1), '.') AS domain, regexp_extract(h.host, '[^.]*$') AS suffix,
+  SELECT h.host, array_to_string(list_slice(string_split(h.host, '.'), -2 - wide, -1), '.') AS domain, array_to_string(list_slice(string_split(h.host, '.'), -1 - wide, -1), '.') AS suffix,
     coalesce(s.bad, 0.0) AS bad, coalesce(s.n, 0.0) AS n
-  FROM (SELECT DISTINCT host FROM split) h LEFT JOIN seen s ON s.host = h.host),
+  FROM (SELECT host, (array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN (""" + ", ".join(f"'{s}'" for s in SUFFIXES) + r"""))::INT AS wide FROM (SELECT DISTINCT host FROM split)) h
+  LEFT JOIN seen s ON s.host = h.host),
 domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM base GROUP BY 1, 2),
 tops AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) FROM base) AS p FROM domains GROUP BY 1),
 k0 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(p * (1 - p) * (n - 1)), 0), 0.001), 0.001), 0.5) - 1 AS k FROM tops WHERE n > 0),

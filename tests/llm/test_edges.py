@@ -213,10 +213,46 @@ def test_urls(spark):
     assert got[2] == ("a.b.com", "/en/1", "com/en/", "block") and got[3] == ("", "", None, "allow") and got[4][:3] == ("", "", None)
     assert got[5] == ("bad.org", "", None, "block") and got[8][3] == "block" and got[6][2] == "com/en/" and got[7][2] is None and got[9][:2] == ("", "//e.org/es/") or got[9][0] == ":"
     assert urls.judge(pages.where("false"), bad, registry.URL_RULES).count() == 0
-    d, s = urls.registered_domain("h", ("co.uk",))
+    d, s = urls.registered_domain("h")
     assert [tuple(r) for r in spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("co.uk",), ("",)], "h string").select(d, s).collect()] == [("b.co.uk", "co.uk"), ("x.com", "com"), ("co.uk", "co.uk"), ("", "")]
 
 
+def test_reputation_decides_verdicts_as_by_brute_force(spark):
+    """Hosts of a bad domain are blocked with few outcomes or none, equal hosts of a good one aren't; a co.uk site is no domain of its neighbours."""
+    hosts = {f"h{k}.bad.com": [1] * 4 for k in range(12)} | {"new.bad.com": []} | {f"h{k}.good.com": [0] * 4 for k in range(12)} | {"new.good.com": [], "one.good.com": [1]}
+    hosts |= {"spam.co.uk": [1] * 12, "fine.co.uk": [0] * 12, "x.fine.co.uk": [], "": [0], "co.uk": []}
+    rows, outcomes = [], []
+    for host, bad in hosts.items():
+        for b in [*bad, None]:
+            rows.append((len(rows), f"http://{host}/p" if host else "no scheme", 7, "k", 0.5, 1.0))
+            outcomes += [(len(rows) - 1, b)] if b is not None else []
+    pages = spark.createDataFrame(rows, "page_id long, url string, host int, domain string, p double, bad double")
+    got = {r.host: r.verdict for r in urls.judge(pages, spark.createDataFrame(outcomes, "page_id long, bad int"), []).collect()}
+
+    def parts(host):
+        labels = host.split(".")
+        n = 2 if ".".join(labels[-2:]) in urls.SUFFIXES else 1
+        return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+    def strength(groups):  # (bad, n, p) of those with outcomes
+        groups = [g for g in groups if g[1]]
+        spread, noise, room = sum(n * (b / n - p) ** 2 for b, n, p in groups), sum(p * (1 - p) for _, _, p in groups), sum(p * (1 - p) * (n - 1) for _, n, p in groups)
+        return 1 / min(max((spread - noise) / room if room else 0.001, 0.001), 0.5) - 1
+
+    def level(keys, of, prior):
+        count = {k: (sum(sum(b) for h, b in hosts.items() if of(h) == k), sum(len(b) for h, b in hosts.items() if of(h) == k), prior(k)) for k in keys}
+        s = strength(count.values())
+        return {k: ((b + s * p) / (n + s), n + s) for k, (b, n, p) in count.items()}
+
+    every = [b for bad in hosts.values() for b in bad]
+    suffixes = level({parts(h)[1] for h in hosts}, lambda h: parts(h)[1], lambda k: sum(every) / len(every))
+    domains = level({parts(h) for h in hosts}, parts, lambda k: suffixes[k[1]][0])
+    rates = level(set(hosts), lambda h: h, lambda k: domains[parts(k)][0])
+    want = {h: "block" if m - urls.Z * (m * (1 - m) / (n + 1)) ** 0.5 > urls.LIMIT else "allow" for h, (m, n) in rates.items()}
+    assert got == want
+    assert got["new.bad.com"] == "block" == got["spam.co.uk"] and got["new.good.com"] == got["fine.co.uk"] == got["one.good.com"] == got["x.fine.co.uk"] == "allow"
+
+
 def test_neighbours(spark):
     r = random.Random(9)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(120)]
