@@ -6,6 +6,9 @@ task: neighbourhoods are joins on the edge ends, closures are rounds of joins ov
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,12 +72,16 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the folder spark.checkpoint.dir names."""
+    """df with its lineage cut by a reliable checkpoint, in the folder spark.checkpoint.dir names.
+
+    Where it is unset, a session on this machine alone gets a folder of its own; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tessera-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tessera-checkpoints")
     return df.checkpoint()
 
 

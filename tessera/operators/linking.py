@@ -60,7 +60,7 @@ def contains_matches(texts: DataFrame, needles: DataFrame, text: str, needle: st
 
     Each needle is looked up under its rarest run of `words` whole words and confirmed by
     `contains`; needles of fewer than words + 2 words, whose ends may be cut, are few by the
-    caller's choice and are tried on every text.
+    caller's choice and are tried on every text (broadcast only where Spark knows them to be small).
     """
     split = lambda c: F.split(F.col(c), " ")
     # runs by zipping the words with themselves, shifted: each word array is made once per shift
@@ -70,7 +70,7 @@ def contains_matches(texts: DataFrame, needles: DataFrame, text: str, needle: st
     # the first run that doesn't touch the needle's first word, which may be the end of a longer one
     probe = needles.where(long).withColumn("_k", F.array_join(F.slice(split(needle), 2, words), " "))
     found = texts.where(F.size(split(text)) >= words).withColumn("_k", F.explode(F.array_distinct(runs))).join(probe, "_k").drop("_k")
-    rest = texts.crossJoin(F.broadcast(needles.where(~long)))
+    rest = texts.crossJoin(needles.where(~long))
     return found.unionByName(rest).where(F.col(text).contains(F.col(needle))).distinct()
 
 

@@ -45,19 +45,33 @@ def score_counts(df: DataFrame, truth: Column, score: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.count_if(truth == 1).alias("pos"), F.count_if(truth != 1).alias("neg"))
 
 
+def _below(counts: DataFrame, ranges: int = 64) -> DataFrame:
+    """score_counts with pos_below and neg_below, the sums over smaller scores, without one sorted task.
+
+    Scores are dealt into ranges by sampled quantiles; sums of whole ranges come first, then sums inside.
+    """
+    cuts = counts.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_part").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    parts = placed.groupBy("_part").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")).select("_part", before("_pos", earlier).alias("_p"), before("_neg", earlier).alias("_n"))
+    out = placed.withColumn("pos_below", before("pos", inside)).withColumn("neg_below", before("neg", inside)).join(F.broadcast(parts), "_part")  # a row a range
+    return out.select("score", "pos", "neg", (F.col("pos_below") + F.col("_p")).alias("pos_below"), (F.col("neg_below") + F.col("_n")).alias("neg_below"))
+
+
 def roc_curve(df: DataFrame, truth: Column, score: str) -> DataFrame:
     """score, tpr, fpr at every distinct score taken as the threshold (score >= threshold is positive)."""
     c = score_counts(df, truth, score)
-    w = W.orderBy(F.desc("score"))
     total = c.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return c.crossJoin(F.broadcast(total)).select("score", _div(F.sum("pos").over(w), F.col("_p")).alias("tpr"), _div(F.sum("neg").over(w), F.col("_n")).alias("fpr"))
+    rate = lambda below, all_: _div(F.col(all_) - F.col(below), F.col(all_))
+    return _below(c).crossJoin(F.broadcast(total)).select("score", rate("pos_below", "_p").alias("tpr"), rate("neg_below", "_n").alias("fpr"))
 
 
 def roc_auc(df: DataFrame, truth: Column, score: str) -> DataFrame:
     """Area under the curve by rank sums, ties count half; 0.5 if a class is missing."""
     c = score_counts(df, truth, score)
-    below = F.coalesce(F.sum("neg").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2.0)).agg(F.coalesce(F.sum("_u") / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0)), F.lit(0.5)).alias("auc"))
+    return _below(c).withColumn("_u", F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).agg(F.coalesce(F.sum("_u") / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0)), F.lit(0.5)).alias("auc"))
 
 
 def sweep(df: DataFrame, truth: str, score: str, thresholds: list[float], keys: list[str], strict: bool) -> DataFrame:
