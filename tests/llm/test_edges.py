@@ -204,6 +204,38 @@ def test_quality(spark, none):
     assert set(quality.fit(none, spark.createDataFrame([], "doc_id long, label int"))) == {0.0}
 
 
+def test_classifiers_on_repeats_ties_long_texts_and_clashing_columns(spark):
+    """Equal texts score alike wherever they stand, a repeated label row adds no example, and no column's name matters."""
+    toxic, clean = prose(30, 90) + " you idiot moron", prose(30, 91) + " fine day"
+    rows = [(i, prose(40, 400 + i) + (" you idiot moron" if i % 3 == 0 else " fine day")) for i in range(90)]
+    rows += [(7, clean), (7, clean), (500, toxic), (501, toxic), (502, prose(30000, 92) + " you idiot moron idiot moron"), (None, toxic), (503, " \n"), (504, "é漢 ☃")]
+    schema = "doc_id long, text string, label int, score double, neighbours string, cosines string, terms string, slots string, one string, size int, so_far int"
+    docs = spark.createDataFrame([(i, t, 1, 0.5, "n", "c", "t", "s", "o", 1, 2) for i, t in rows], schema)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] * 2 + [(500, 1), (500, 0), (None, 1), (3, None), (4, 7)], "doc_id long, label int")
+    index = toxicity.fit(docs, labels)
+    assert len(index.keys) == 61 and len(set(index.keys.tolist())) == 61
+    got = toxicity.toxicity(docs, index).collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, []).append(r.score)
+    assert by_id[501][0] == by_id[None][0] > 0.3 and min(by_id[7]) < 0.3 and by_id[503][0] < 0.3
+    assert all(500 not in r.neighbours for r in got if r.doc_id == 500)
+    kept = toxicity.keep_clean(docs, index, 0.3)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {0.5}
+    weights = quality.fit(docs, labels)
+    scores = {}
+    for r in quality.quality(docs, weights).collect():
+        scores.setdefault(r.doc_id, []).append(r.score)
+    assert scores[501] == scores[None] == scores[500] and scores[501][0] > scores[89][0] and len(scores[7]) == 3 and all(0 <= x <= 1 for s in scores.values() for x in s)
+
+
+def test_main_text_of_clashing_columns_and_repeats(spark):
+    page = "<article><p>One, two.</p></article>"
+    pages = spark.createDataFrame([(1, "u", page, "t", 9), (1, "u", page, "t", 9), (None, None, page, "t", 9)], "page_id long, url string, html string, text string, n_chars int")
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in html.extract(pages).collect()] == [(1, "u", "One, two.", 9), (1, "u", "One, two.", 9), (None, None, "One, two.", 9)]
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://Www.Example.COM/en/7x?q"), (2, "http://a.b.com/en/1"), (3, "x"), (4, None), (5, "https://bad.org#x"), (6, "http://com/en/"), (7, "http://examplexcom/en/7"), (8, "http://bad.org/y"), (8, "http://bad.org/y"), (9, "://://e.org/es/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
