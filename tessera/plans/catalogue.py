@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import graphs, labels, linking, metrics, ordered, parsers, text, typed_graph  # noqa: F401
+    from tessera.plans import graphs, labels, linking, metrics, ordered, parsers, reading, text, typed_graph  # noqa: F401
