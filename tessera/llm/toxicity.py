@@ -35,7 +35,7 @@ EXAMPLE_BYTES = 32 << 20
 #: share of its weight that a term keeps which tells nothing, and the chi-square at half of the rest
 FLOOR, DOUBT = 0.02, 25.0
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 16
 
 
 def distinct_terms(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,13 +164,16 @@ def telling(by_label: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int]) ->
     return FLOOR + (1 - FLOOR) * chi**4 / (chi**4 + DOUBT**4)
 
 
-def build(keys: np.ndarray, labels: np.ndarray, rows: np.ndarray, h: np.ndarray, tf: np.ndarray, frequency: dict[int, int], n_docs: int, base: float) -> Index:
+def build(keys: np.ndarray, labels: np.ndarray, rows: np.ndarray, h: np.ndarray, tf: np.ndarray, frequency: tuple[np.ndarray, np.ndarray], n_docs: int, base: float) -> Index:
     """keys, labels: doc_id and label of the examples; rows, h, tf: their terms (see distinct_terms);
-    frequency: documents of each term, by signed hash."""
+    frequency: sorted hashes of terms, and documents of each."""
     keys, labels = np.asarray(keys, np.int64), np.asarray(labels, np.float64)
-    terms, term = np.unique(h, return_inverse=True)
-    term = term.astype(np.int64)
-    df = np.array([frequency.get(x, 1) for x in terms.view(np.int64).tolist()], dtype=np.float64)
+    terms = np.unique(h)
+    term = np.searchsorted(terms, h).astype(np.int32)
+    df = np.ones(len(terms))
+    if len(frequency[0]):
+        at = np.minimum(np.searchsorted(frequency[0], terms), len(frequency[0]) - 1)
+        df = np.where(frequency[0][at] == terms, frequency[1][at], 1).astype(np.float64)
     held = tuple(np.bincount(term[labels[rows] == y], minlength=len(terms)).astype(np.float64) for y in (0, 1))
     gain = np.log1p(n_docs / np.maximum(df, 1)) * telling(held, (int((labels == 0).sum()), int((labels == 1).sum())))
     w = (1 + np.log(tf)) * gain[term]
@@ -182,15 +185,17 @@ def build(keys: np.ndarray, labels: np.ndarray, rows: np.ndarray, h: np.ndarray,
     by_weight = by_weight[np.bincount(term, minlength=len(terms))[term[by_weight]] >= BLOCK // 2]
     strongest[rows[by_weight]] = term[by_weight]
     order = np.lexsort((keys, strongest))
-    place = np.empty(len(keys), np.int64)
+    place = np.empty(len(keys), np.int32)
     place[order] = np.arange(len(keys))
     ids = place[rows]
+    del by_weight
     by_term = np.lexsort((ids, term))
     term, ids, w = term[by_term], ids[by_term], w[by_term]
     block = ids // BLOCK
     new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
     top = np.maximum.reduceat(w, new) if len(new) else np.zeros(0)
-    index = Index(terms, gain, np.searchsorted(term[new], np.arange(len(terms) + 1)), block[new], top, np.append(new, len(term)), ids, w, labels[order], keys[order], base, np.zeros(4))
+    index = Index(terms, gain, np.searchsorted(term[new], np.arange(len(terms) + 1)).astype(np.int32), block[new], top, np.append(new, len(term)).astype(np.int32), ids, w, labels[order], keys[order], base, np.zeros(4))
+    del term, block, by_term
     if len(keys):
         x = []
         own = np.argsort(rows, kind="stable")
@@ -281,9 +286,25 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_label: int = EXAMPLES_P
     so_far = F.sum(F.octet_length("text")).over(W.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(W.unboundedPreceding, 0))
     examples = found.withColumn("so_far", so_far).where(F.col("so_far") <= example_bytes).select("doc_id", "label", "text").orderBy("doc_id").toArrow()
     keys, y = examples.column("doc_id").to_numpy(), examples.column("label").to_numpy()
-    rows, h, tf = distinct_terms(Texts(examples.column("text")))
-    frequency = dict(docs.select("text").mapInArrow(_count(np.unique(h)), "term long, n long").groupBy("term").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False, name=None))
-    return build(keys, y, rows, h, tf, frequency, frequency.pop(0, 0), base)
+    # a slice of the texts at a time, in small integers: the driver holds little more than the index
+    parts, begin = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))], 0
+    for batch in examples.to_batches():
+        for part in slices(batch, "text", 1 << 20):
+            rows, h, tf = distinct_terms(Texts(part.column("text")))
+            parts.append(((rows + begin).astype(np.int32), h, tf.astype(np.int32)))
+            begin += part.num_rows
+    del examples
+    rows, h, tf = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    del parts
+    counted = docs.select("text").mapInArrow(_count(np.unique(h)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    known, n = counted.column("term").to_numpy().view(np.uint64), counted.column("n").to_numpy()
+    order = np.argsort(known, kind="stable")  # hash 0 comes first and stands for all documents
+    frequency = known[order], n[order]
+    n_docs = int(frequency[1][0]) if len(known) and frequency[0][0] == 0 else 0
+    index = build(keys, y, rows, h, tf, frequency, n_docs, base)
+    del counted, known, n, rows, h, tf
+    pa.default_memory_pool().release_unused()
+    return index
 
 
 def toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:

@@ -169,7 +169,7 @@ def test_block_max_search_is_exact_and_reads_less():
     rng = np.random.default_rng(5)
     vocabulary = rng.integers(1, 2**62, 900)
     rows, h, tf = examples(rng, 1500, vocabulary)
-    frequency = {int(v): int(rng.integers(1, 400)) for v in vocabulary}
+    frequency = np.sort(vocabulary).astype(np.uint64), rng.integers(1, 400, len(vocabulary))
     index = toxicity.build(np.arange(1500), np.arange(1500) % 3 == 0, rows, h, tf, frequency, 1000, 0.3)
     dense = np.zeros((1500, len(index.terms)))
     for i in range(1500):
@@ -193,7 +193,7 @@ def test_block_max_search_is_exact_and_reads_less():
 
 def test_a_query_without_known_terms_has_no_neighbours():
     none = np.zeros(0, np.int64)
-    index = toxicity.build(none, none, none, none.astype(np.uint64), none, {}, 0, 0.1)
+    index = toxicity.build(none, none, none, none.astype(np.uint64), none, (none.astype(np.uint64), none), 0, 0.1)
     ids, cos = index.nearest(np.zeros(0, np.int64), np.zeros(0), 5)
     assert not len(ids) and 0 <= toxicity.score(index, ids, cos) <= 1
     assert not len(index.vector(np.array([5], np.uint64), np.array([1]))[0])
