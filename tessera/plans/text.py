@@ -81,9 +81,11 @@ def signature_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, 'L' || (user_id * 1000) AS r, (user_id * 1000)::VARCHAR AS line_from,
   CASE WHEN length((event_id * 100)::VARCHAR) > 7 THEN 'invalid' ELSE (event_id * 100)::VARCHAR END AS line_to FROM events""")
 def line_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("L"), F.col("user_id") * 1000).alias("r"), F.concat(F.lit(" L"), F.col("user_id") * 1000, F.lit("-l"), F.col("event_id") * 100).alias("t"))
-    a, b = R.line_range(F.col("t"))
-    return e.select("event_id", "r", a.alias("line_from"), b.alias("line_to"))
+    """Ranges of two parts; beyond what the reader checks, an end of more than seven characters is `invalid` here."""
+    number = lambda c, k: F.coalesce((F.col(c) * k).cast("string"), F.lit(""))
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("L"), F.col("user_id") * 1000).alias("r"), F.concat(F.lit(" L"), number("user_id", 1000), F.lit("-l"), number("event_id", 100)).alias("t"))
+    a, b = (F.nullif(x, F.lit("")) for x in R.line_range(F.col("t")))
+    return e.select("event_id", "r", a.alias("line_from"), F.when(F.length(b) > 7, "invalid").otherwise(b).alias("line_to"))
 
 
 @query("""SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS n_view, count(*) FILTER (WHERE event_type IN ('purchase', 'click')) AS n_act, count(*) FILTER (WHERE event_type = 'error') AS n_error,

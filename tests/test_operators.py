@@ -107,6 +107,21 @@ def test_line_ranges_and_signatures(spark):
     assert [tuple(r) for r in sig.select(*rules.signature(F.col("t"))).collect()] == [("move", "address,uint256"), ("idle", ""), ("bare", "")]
 
 
+def test_only_single_lines_are_invalid_by_length(spark):
+    df = spark.createDataFrame([("L10000000-l20000000",), (" L1 - L2\t",), ("1-2-3",), ("12345678-2-3",), ("123456789",), ("",), ("5-",), (None,)], "t string")
+    want = [("10000000", "20000000"), ("1", "2"), ("1", "1"), ("invalid", "invalid"), ("invalid", "invalid"), ("", ""), ("5", ""), (None, None)]
+    assert [tuple(r) for r in df.select(*rules.line_range(F.col("t"))).collect()] == want
+
+
+def test_line_range_query_on_large_keys(spark, tmp_path):
+    from tessera.plans import catalogue
+    from tests.differential import differences
+
+    rows = [(1, 1), (99999, 9999), (100000, 10000), (5999999, 89999), (7, 123456789), (8, None), (None, 8)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    assert differences(catalogue.queries()["line_range_parse"](spark, str(tmp_path)), catalogue.oracle_sql()["line_range_parse"], str(tmp_path)) == ""
+
+
 def test_text_embedding_reads_whole_documents(spark, tmp_path):
     from tessera.plans import catalogue
 
