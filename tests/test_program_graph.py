@@ -131,3 +131,10 @@ def test_tables_of_text(spark, tmp_path):
     assert readers.findings_by_file(spark, str(tmp_path / "form"), "source").first().category == "SWC-107-Reentrancy"
     out = readers.compiler_output(spark.createDataFrame([("p", "x\n======= a.sol =======\n{1}\n======= b.sol =======\n{2}\n")], "p string, t string"), "t")
     assert [tuple(r) for r in out.collect()] == [("p", "a.sol", "{1}"), ("p", "b.sol", "{2}")]
+
+
+@pytest.mark.parametrize("name", ["graph_findings", "graph_stage_labels"])
+def test_no_row_of_the_graph_goes_to_python(spark, sf_dir, name):
+    from tessera.plans import catalogue
+
+    assert "EvalPython" not in catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
