@@ -138,3 +138,16 @@ def test_no_row_of_the_graph_goes_to_python(spark, sf_dir, name):
     from tessera.plans import catalogue
 
     assert "EvalPython" not in catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_nodes_without_a_place_make_edges_read(spark):
+    place = "project string, node_id long, file string, contract string, function string"
+    nodes = spark.createDataFrame([("p", 1, "a", "K", "f"), ("p", 2, "a", "K", "g")], place)
+    edges = spark.createDataFrame([("p", 1, 3), ("p", 3, 2), ("p", 2, 4), ("p", 1, 4), ("p", 1, 2)], "project string, src long, dst long")
+    assert "src" not in P.membership(P.ProgramGraph(nodes, edges))._jdf.queryExecution().analyzed().toString()
+    more = nodes.unionByName(spark.createDataFrame([("p", 3, "", None, "None"), ("p", 4, "b", "L", ""), ("p", 5, None, None, None)], place))
+    members = P.membership(P.ProgramGraph(more, edges))
+    assert sorted(map(tuple, members.fillna("-").collect())) == [("p", "a", "K", "-", 3), ("p", "a", "K", "-", 4), ("p", "a", "K", "f", 1), ("p", "a", "K", "g", 2), ("p", "b", "L", "-", 4)]
+    found = P.stage_labels(members, spark.createDataFrame([("p", 4, "SC01")], "project string, node_id long, category string"))
+    assert sorted(map(tuple, found["contract"].collect())) == [("p", "a", "K", 1), ("p", "b", "L", 1)]
+    assert sorted(map(tuple, found["function"].collect())) == [("p", "a", "K", "f", 0), ("p", "a", "K", "g", 0)]
