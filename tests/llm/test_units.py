@@ -297,3 +297,15 @@ def test_word_grams_stay_inside_rows():
     t = Texts(pa.array(["a b c", "d e"]))
     s, e, r = t.tokens()
     assert grams(t.hashes(s, e), r, 3)[1].tolist() == [0]
+
+
+def test_wide_index_finds_the_same():
+    texts = Texts(pa.array(["bad fool words", "good words here", "bad bad fool", "plain good text here"]))
+    rows, h, tf = toxicity.distinct_terms(texts)
+    index = toxicity.build([1, 2, 3, 4], [1, 0, 1, 0], rows, h, tf, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 4, 0.5)
+    wide = index.widened()
+    assert {getattr(wide, n).dtype for n in ("first", "block", "start", "ids")} == {np.dtype(np.intp)}
+    for i in range(4):
+        mine = rows == i
+        a, b = (x.nearest(*x.vector(h[mine], tf[mine]), 3) for x in (index, wide))
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
